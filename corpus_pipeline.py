@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import ngram_join, toxicity
+from lodestone.llm import mixing, ngram_join, secrets, sentence_pieces, toxicity
 from lodestone.llm.common import table, written
 
 
@@ -19,7 +19,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return ngram_join.keep_one(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text give way to a mark. The tests' tables come from these documents."""
+    return secrets.redact(docs, secrets.learn(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target weight gives it copies: none, one or more."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each copy."""
+    return sentence_pieces.encode(docs, check=False)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_jaccard", drop_near_duplicates), ("secrets", redact_secrets), ("mixing", mix_sources), ("sentencepiece", encode)]
 
 #: Classifier, secret tests and tokens can't be expressed in SQL: tests hold run() against brute force.
 ORACLE_SQL = None
