@@ -1,7 +1,7 @@
 """License scans by sentence rules: known sentences get identifiers, and ordered rules read the sequence of identifiers.
 
-1. A text is cut into sentences (after . ! ? ; before white space, at blank lines and before lines that begin anew) and each is normalised: lower
-   case, letters, digits and dots within numbers only, single spaces, comment signs and noise gone.
+1. A text is cut into sentences (after . ! ? ; before white space, and at blank lines), and each is normalised: lower case,
+   letters, digits and dots within numbers only, single spaces, comment signs and noise gone.
 2. A normalised sentence that matches a known licence sentence gets that sentence's identifier, and its parameters such as
    a version. Known sentences are whole sentences, so prose that merely speaks of a licence isn't one.
 3. Rules are tried in order, the most specific first. A rule is a sequence of identifiers; it matches where they follow each
@@ -113,35 +113,41 @@ def normalise(sentence: str) -> str:
     return " ".join(_NOISE.sub(" ", sentence.lower()).split())
 
 
+def _known(plain: str) -> tuple[str, dict[str, str]] | None:
+    if len(plain) > 4 * _LONGEST or not _HINT.search(plain):
+        return None
+    line = normalise(plain)
+    if len(line) > _LONGEST or not _ANY.fullmatch(line):
+        return None
+    name, m = next((name, m) for name, pattern in _PATTERNS if (m := pattern.fullmatch(line)))
+    return name, {k: v for k, v in m.groupdict().items() if v}
+
+
 def identify(text: str) -> list[tuple[str, dict[str, str], int, int, int]]:
-    """(identifier, parameters, number of the sentence, start, end) of the known sentences of a text, in order."""
+    """(identifier, parameters, number of the sentence, start, end) of the known sentences of a text, in order. A sentence's
+    lines are tried first, as licence lines often stand in prose without a full stop; if none is known, they are one sentence."""
     out = []
-    for n, (a, b) in enumerate(_sentences(text)):
-        plain = text[a:b]
-        if len(plain) <= 4 * _LONGEST and _HINT.search(plain):
-            line = normalise(plain)
-            if len(line) <= _LONGEST and _ANY.fullmatch(line):
-                for name, pattern in _PATTERNS:
-                    m = pattern.fullmatch(line)
-                    if m:
-                        out.append((name, {k: v for k, v in m.groupdict().items() if v}, n, a, b))
-                        break
+    for n, (a, b) in enumerate(_cut(text, _BREAK, 0, len(text))):
+        if not _HINT.search(text, a, b):
+            continue
+        lines = _cut(text, _LINE, a, b)
+        found = [(known, p, q) for p, q in lines if (known := _known(text[p:q]))] or ([(known, a, b)] if len(lines) > 1 and (known := _known(text[a:b])) else [])
+        out += [(name, params, n, p, q) for (name, params), p, q in found]
     return out
 
 
 _HINT = re.compile(TRIGGER, re.I)
-_BREAK = re.compile(r"[.!?;][^\w\s]*\s+|\n\s*\n|\n(?=[A-Z*#/-])|(?<=:)\s*\n")
+_BREAK = re.compile(r"[.!?;][^\w\s]*\s+|\n\s*\n|(?<=:)\s*\n")
+_LINE = re.compile(r"[\r\n]+")
 
 
-def _sentences(text: str) -> list[tuple[int, int]]:
-    out, a = [], 0
-    for m in _BREAK.finditer(text):
-        if m.start() > a:
-            out.append((a, m.start()))
-        a = m.end()
-    if a < len(text):
-        out.append((a, len(text)))
-    return out
+def _cut(text: str, at: re.Pattern, start: int, end: int) -> list[tuple[int, int]]:
+    out = []
+    for m in at.finditer(text, start, end):
+        if m.start() > start:
+            out.append((start, m.start()))
+        start = m.end()
+    return [*out, (start, end)] if start < end else out
 
 
 def _name(licence: str, params: dict[str, str]) -> str:

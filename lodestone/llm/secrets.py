@@ -6,7 +6,8 @@
    even), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial correlation. Their p-values are combined
    by Fisher's method. A run whose combined value is below ``REJECT`` is structured, and no secret.
 3. What passes may still be ordinary text that is too short to tell. Its p-value under that null, that characters come
-   with the frequencies that this alphabet has in all documents, is the lower tail of the chi-squared statistic.
+   with the frequencies that this alphabet has in all documents outside such runs, is the lower tail of the chi-squared
+   statistic.
    Benjamini-Hochberg at level ``FDR`` runs within each encoding and band of lengths, so crowds of short words don't
    decide over long keys, nor the other way round. p-values are counted in fine bins, each taken at its upper edge, so the
    tables that leave the executors have a bounded size at any scale.
@@ -60,8 +61,7 @@ ENCODINGS: dict[str, str] = {
     "base64_any": _UPPER + _LOWER + _DIGIT + "+/-_",
 }
 _NAMES = list(ENCODINGS)
-_RUN = re.compile(r"(?<![\w+/=-])[A-Za-z0-9+/_-]{%d,}(?![\w+/-])" % LEAST)
-#: A word as texts have them: letters, the first perhaps a capital. Counted without a look at each character.
+_RUN = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}(?![\w+/-])" % LEAST)
 _VALUES = np.full((len(_NAMES), 128), -1, np.int64)
 for _k, _alphabet in enumerate(ENCODINGS.values()):
     for _v, _c in enumerate(_alphabet):
@@ -171,11 +171,16 @@ class Rules:
 
 
 def frequencies(count: np.ndarray) -> np.ndarray:
-    """By encoding and place, from counts of the 128 ASCII characters; a half is added to each count."""
+    """By encoding and place, from counts of the 128 ASCII characters; a half is added to each count. Where an alphabet has
+    letters of one case, those of the other count for them: capitals are too rare in prose to tell how ordinary ones lie."""
+    folded = count.astype(np.float64)
+    for a, b in zip(map(ord, _LOWER), map(ord, _UPPER)):
+        folded[a] = folded[b] = count[a] + count[b]
     out = np.zeros((len(_NAMES), 128))
-    for k in range(len(_NAMES)):
+    for k, name in enumerate(_NAMES):
         here = _VALUES[k] >= 0
-        share = count[here] + 0.5
+        one_case = not (here[ord("a")] and here[ord("A")])
+        share = (folded if one_case else count)[here] + 0.5
         out[k, _VALUES[k][here]] = share / share.sum()
     return out
 
@@ -200,8 +205,9 @@ def learn(docs: DataFrame, level: float = FDR) -> Rules:
 
     def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
         col = batch.column("text")
-        count = np.bincount(raw(col)[1], minlength=256)[:128]
-        enc, size, squares, *_ = battery(runs_of(col.to_pylist())[2])
+        found = runs_of(col.to_pylist())[2]
+        count = np.bincount(raw(col)[1], minlength=256)[:128] - np.bincount(np.frombuffer("".join(found).encode(), np.uint8), minlength=128)
+        enc, size, squares, *_ = battery(found)
         rows, n = np.unique(np.stack([enc, size, squares], axis=1), axis=0, return_counts=True)
         none = np.full(128, -1, np.int64)
         return pa.RecordBatch.from_pydict(

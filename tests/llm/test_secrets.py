@@ -1,0 +1,71 @@
+import random
+
+import numpy as np
+import pytest
+
+from lodestone.llm import secrets as S
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    syllables = "the of and to in is er on re ed nd ha at en es or ti te it".split()
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(n))
+
+
+def key(alphabet, n, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rules(spark):
+    docs = [(i, prose(120, i) + (f" token = \"{key('0123456789abcdef', 40, i)}\" " if i % 10 == 0 else " ")) for i in range(300)]
+    return S.learn(spark.createDataFrame(docs, "doc_id long, text string"))
+
+
+def test_finds_keys_and_leaves_prose(spark, rules):
+    kinds = {0: ("0123456789abcdef", 40), 1: (S.ENCODINGS["base62"], 40), 2: (S.ENCODINGS["base64url"], 64), 3: (S.ENCODINGS["hex_upper"], 64)}
+    rows = [(i, prose(100, 1000 + i) + f" key={key(*kinds[i % 4], 77 + i)}; " + prose(20, i)) for i in range(80)]
+    rows += [(100 + i, prose(300, 2000 + i)) for i in range(60)]
+    rows += [(200, "0123456789abcdef" * 4), (201, "a" * 80), (202, "1234567890" * 6), (203, "abcdefghijklmnopqrstuvwxyz" * 2), (204, "https://www.example.com/a/very/long/path/of/plain/words/that/goes/on")]
+    learnt = S.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["doc_id"] for x in S.scan(spark.createDataFrame(rows, "doc_id long, text string"), learnt).collect()}
+    assert not [i for i in got if i >= 80]
+    assert len(got) >= 78
+
+
+def test_battery_is_calibrated():
+    """Random runs are seldom rejected, structured ones always."""
+    rng = random.Random(9)
+    for name in ("hex", "base62", "decimal"):
+        runs = [key(S.ENCODINGS[name], rng.randint(20, 80), i) for i in range(2000)]
+        p = S.battery(runs)[6]
+        assert (p < 0.01).mean() < 0.04 and (p < S.REJECT).mean() < 0.003
+    assert (S.battery(["0123456789abcdef" * 3, "ab" * 20, "f" * 40, "00112233445566778899aabbccddeeff" * 2])[6] < S.REJECT).all()
+
+
+def test_benjamini_hochberg_against_brute_force():
+    rng = np.random.default_rng(2)
+    bins = np.sort(np.concatenate([rng.integers(0, 40, 300), rng.integers(150, 400, 20)]))
+    counts = [(1, 0, int(b), int(n)) for b, n in zip(*np.unique(bins, return_counts=True))]
+    p = 10 ** (-bins[::-1] / S.BINS_PER_DECADE)
+    passed = [x for k, x in enumerate(p, 1) if x <= 0.01 * np.searchsorted(p, x, "right") / len(p)]
+    assert 10 ** (-S.discover(counts, 0.01)[1, 0] / S.BINS_PER_DECADE) == pytest.approx(max(passed))
+    assert S.discover([(1, 0, 0, 50)], 0.01) == {}
+
+
+def test_redact(spark, rules):
+    secret = key("0123456789abcdef", 40, 5)
+    df = spark.createDataFrame([(1, f"x {secret} y {secret}", 84, "c"), (2, "plain", 5, "c"), (3, None, None, "c")], "doc_id long, text string, n_chars long, start string")
+    got = {r["doc_id"]: r for r in S.redact(df, rules).collect()}
+    assert got[1]["text"] == f"x {S.MASK} y {S.MASK}" and got[1]["n_chars"] == len(got[1]["text"]) and got[2]["text"] == "plain" and got[3]["text"] is None
+
+
+def test_runs_stand_alone():
+    assert S.runs_of(["é0123456789abcdef0123", "x.0123456789abcdef01==", None, ""])[2] == ["0123456789abcdef01"]
+
+
+def test_odd_tables(odd, none, rules):
+    assert S.scan(odd, S.learn(odd)).count() == 0 and S.scan(none, S.learn(none)).count() == 0
+    out = S.redact(odd, rules)
+    assert out.columns == odd.columns and out.count() == odd.count()
