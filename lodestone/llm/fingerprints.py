@@ -195,7 +195,7 @@ def similarity(a: list[bytes], b: list[bytes]) -> float:
     """From 0, no more bits in common than by chance, to 1."""
     if not a or not b:
         return 0.0
-    if len(a) > len(b):
+    if (len(a), a) > (len(b), b):  # the same either way round
         a, b = b, a
     x, y = (np.stack([np.frombuffer(f, np.uint64) for f in side]) for side in (a, b))
     nx, ny = np.bitwise_count(x).sum(axis=1).astype(np.float64), np.bitwise_count(y).sum(axis=1).astype(np.float64)

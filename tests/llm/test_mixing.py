@@ -31,10 +31,10 @@ def test_each_has_its_chance(spark):
     """Over many seeds each document gets its fraction of copies on average."""
     df = docs(spark, {"a": 9, "b": 3}, 2).cache()
     count = Counter()
-    for seed in range(40):
+    for seed in range(12):
         count.update(r["doc_id"] for r in M.mix(df, {"a": 1.0, "b": 1.0}, 6, seed=seed).collect())
-    assert abs(sum(count[i] for i in range(9)) / 40 - 3) < 0.01
-    assert all(abs(count[i] / 40 - 1 / 3) < 0.26 for i in range(9))
+    assert sum(count[i] for i in range(9)) == 3 * 12
+    assert all(abs(count[i] / 12 - 1 / 3) < 0.45 for i in range(9)) and len([i for i in range(9) if count[i]]) >= 7
 
 
 def test_a_duel_keeps_the_sum():
