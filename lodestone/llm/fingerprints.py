@@ -12,9 +12,8 @@
 ``matches`` compares each document with the first document (least id) that holds one of its features, for every feature:
 documents of one group meet through its first, and the work grows with the number of features, not of pairs.
 
-Edge cases: null and empty texts have no features and an empty digest, as have texts of fewer than WINDOW bytes unless
-they are whole: those have one feature, the text; repeated rows get equal digests, and rows that repeat a doc_id count as
-one document in matches; a row without a doc_id gets a digest and no matches; further columns are ignored; an empty table
+Edge cases: null and empty texts have no features and an empty digest; a text of fewer than WINDOW bytes has one feature,
+itself; repeated rows get equal digests, and rows that repeat a doc_id count as one document in matches; a row without a doc_id gets a digest and no matches; further columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -208,9 +207,8 @@ def similarity(a: list[bytes], b: list[bytes]) -> float:
 
 
 def matches(found: DataFrame, least: float = MATCH) -> DataFrame:
-    """doc_a, doc_b, similarity with doc_a < doc_b: each document with the first holders of its features.
-
-    found: doc_id, digest and features. Features are counted per holder by window aggregates on the feature alone."""
+    """doc_a, doc_b, similarity with doc_a < doc_b: each document with the first holders of its features. found: doc_id, digest
+    and features."""
     one = found.where("doc_id is not null").select("doc_id", F.explode("features").alias("f"))
     first = one.groupBy("f").agg(F.min("doc_id").alias("doc_a"), F.max("doc_id").alias("_last")).where("doc_a < _last").drop("_last")
     pairs = written(one.join(first, "f").where("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b")).distinct(), "digest-pairs")
