@@ -43,7 +43,13 @@ class _Context:
     def actors(self) -> DataFrame:
         if self._actors is None:
             external = F.col(self.cfg["geo"]).eqNullSafe(self.cfg.get("labels", {}).get("out", "OOS")) if self.has("geo") else F.lit(False)
-            self._actors = self.df.where(self.col("actor").isNotNull()).groupBy("_source", self.col("actor").cast("string").alias("actor")).agg(F.count("*").alias("n"), F.count_if(external).alias("n_external"))
+            valid = day = F.lit(False)
+            if self.has("hour"):
+                h = self.col("hour")
+                valid = F.coalesce((h >= 0) & (h <= 23), F.lit(False))
+                day = valid & (h >= self.cfg.get("day_start", 8)) & (h < self.cfg.get("day_end", 18))
+            counts = {"n": F.count("*"), "n_external": F.count_if(external), "n_hours": F.count_if(valid), "n_day": F.count_if(day)}
+            self._actors = self.df.where(self.col("actor").isNotNull()).groupBy("_source", self.col("actor").cast("string").alias("actor")).agg(*[v.alias(k) for k, v in counts.items()])
         return self._actors
 
     def ts(self) -> Column:
@@ -152,12 +158,9 @@ def run_recipe(df: DataFrame, cfg: Mapping[str, Any], source: str | None = None,
         if c.has("geo"):
             parts.append(_long(there.where("n_external > 0"), "cross_agency", {"external_actor": F.col("n_external")}, F.col("actor")))
     if wanted("ai_moderation"):
-        h = c.col("hour")
-        valid = F.coalesce((h >= 0) & (h <= 23), F.lit(False))
-        day = valid & (h >= cfg.get("day_start", 8)) & (h < cfg.get("day_end", 18))
-        per = c.df.where(c.col("actor").isNotNull()).groupBy("_source", c.col("actor").alias("a")).agg(F.count("*").alias("n"), F.count_if(valid).alias("v"), F.count_if(day).alias("d"))
-        night = ratio(F.col("v") - F.col("d"), F.col("v"))
-        marked = per.groupBy("_source").agg(F.count_if(F.col("n") > cfg.get("heavy", 1000)).alias("heavy"), F.count_if((F.col("n") > cfg.get("heavy", 1000)) & (night >= cfg.get("night_share", 0.5))).alias("round_the_clock"))
+        heavy = F.col("n") > cfg.get("heavy", 1000)
+        night = ratio(F.col("n_hours") - F.col("n_day"), F.col("n_hours"))
+        marked = c.actors().groupBy("_source").agg(F.count_if(heavy).alias("heavy"), F.count_if(heavy & (night >= cfg.get("night_share", 0.5))).alias("round_the_clock"))
         parts.append(_long(marked, "ai_moderation", {"n_heavy": F.col("heavy"), "n_heavy_by_night": F.col("round_the_clock")}))
         burst = None
         if c.has("ts"):
