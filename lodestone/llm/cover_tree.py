@@ -9,7 +9,8 @@ Each block gets a cover tree, built once: nested levels whose radii halve. A nod
 its children are a net of half the radius (no two centres are closer than that) over those points, found farthest first,
 and each child keeps the true greatest distance to its points. The dual traversal starts at the two roots and drops a pair
 of nodes when d(centres) - radius - radius exceeds the distance; otherwise both open, and their children are measured
-against each other in one matrix product. Pairs of points in two leaves are measured exactly, in double precision.
+against each other in one matrix product. A leaf counts as its points, nodes of radius 0: those of all leaves that a node opens
+to are measured together, and pairs of points exactly, in double precision.
 
 Edge cases: null vectors, vectors of no element or with a null, NaN or infinite element, and zero vectors have no
 direction and no partner; rows without an id are left out; rows that repeat an id are one vector each, reported once,
@@ -86,36 +87,49 @@ def _distances(dot: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * dot, 0))
 
 
+class _Side:
+    """What a node opens to: its inner children and, for all its leaves at once, their points. A leaf is points alone."""
+
+    def __init__(self, tree: CoverTree, node: int, points: np.ndarray | None = None) -> None:
+        kids = [] if points is not None else tree.children[node] or [node]
+        self.inner = np.array([k for k in kids if tree.children[k]], np.int64)
+        leaves = [tree.order[slice(*tree.range[k])] for k in kids if not tree.children[k]]
+        self.points = points if points is not None else np.concatenate(leaves) if leaves else np.zeros(0, np.int64)
+        self.centres, self.r = tree.x[tree.centre_rows[self.inner]], tree.r[self.inner]
+
+
 def dual(s: CoverTree, t: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of s and of t whose scalar product is at least the threshold, and the product; all of them. If s is t, each
     pair may come twice, and each row comes with itself."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
-    same, out = s is t, []
-    stack = [(0, 0)]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    none = np.zeros(0, np.int64)
+    stack: list[tuple[int, np.ndarray | None, int, np.ndarray | None]] = [(0, None, 0, None)]
     while stack:
-        p, q = stack.pop()
-        kids_p, kids_q = s.children[p], t.children[q]
-        if not kids_p and not kids_q:
-            a, b = s.order[slice(*s.range[p])], t.order[slice(*t.range[q])]
-            step = max(1, _AT_ONCE // len(b))  # a leaf of coinciding points may be large
-            for k in range(0, len(a), step):
-                dot = s.x[a[k : k + step]] @ t.x[b].T
-                u, v = np.nonzero(dot >= threshold - 1e-12)
-                out.append((a[k : k + step][u], b[v], dot[u, v]))
-            continue
-        i, j = np.array(kids_p or [p]), np.array(kids_q or [q])
-        step = max(1, _AT_ONCE // len(j))
-        y, ry = t.x[t.centre_rows[j]], t.r[j]
-        for k in range(0, len(i), step):
-            some = i[k : k + step]
-            d = _distances(s.x[s.centre_rows[some]] @ y.T)
-            u, v = np.nonzero(d - s.r[some][:, None] - ry[None, :] <= reach)
-            u, v = some[u], j[v]
-            if same and p == q:
-                u, v = u[u <= v], v[u <= v]
-            stack += zip(u.tolist(), v.tolist())
+        p, a, q, b = stack.pop()
+        left, right = _Side(s, p, a), _Side(t, q, b)
+        mirrored = s is t and p == q and a is None and b is None
+        step = max(1, _AT_ONCE // max(1, len(right.points)))
+        for k in range(0, len(left.points), step):
+            dot = s.x[left.points[k : k + step]] @ t.x[right.points].T
+            u, v = np.nonzero(dot >= threshold - 1e-12)
+            if len(u):
+                out.append((left.points[k : k + step][u], right.points[v], dot[u, v]))
+        if len(left.inner) and len(right.inner):
+            u, v = np.nonzero(_distances(left.centres @ right.centres.T) - left.r[:, None] - right.r[None, :] <= reach)
+            for i, j in zip(left.inner[u].tolist(), right.inner[v].tolist()):
+                if not mirrored or i <= j:
+                    stack.append((i, None, j, None))
+        for k, i in enumerate(left.inner.tolist()) if len(right.points) else ():
+            near = right.points[_distances(t.x[right.points] @ left.centres[k]) - left.r[k] <= reach]
+            if len(near):
+                stack.append((i, None, 0, near))
+        for k, j in enumerate(right.inner.tolist()) if len(left.points) and not mirrored else ():
+            near = left.points[_distances(s.x[left.points] @ right.centres[k]) - right.r[k] <= reach]
+            if len(near):
+                stack.append((0, near, j, None))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return none, none, np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
