@@ -6,8 +6,8 @@ those probabilities.
 
 Edge cases: a null or empty text has no features and gets the prior alone; repeated rows get equal results;
 an empty table gives an empty result; columns besides id and text are ignored by ``score`` and kept by
-``keep_clean`` (its working columns have reserved names). Without a labelled row of either kind, fitting raises
-ValueError.
+``keep_clean``, whatever their names. Where no word tells toxic labelled rows from others, as without a labelled row of
+either kind, the model has no features and calls nothing toxic.
 """
 
 from __future__ import annotations
@@ -62,6 +62,9 @@ def bitmap(features: np.ndarray) -> np.ndarray:
     return seen
 
 
+NOTHING_LEARNT = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), 20.0 + np.arange(LEVELS), bitmap(np.zeros(0, np.uint64)))
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, feature
     best = best.where((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
     best = best.orderBy(F.desc("chi2"), "f").limit(features).select("f", "a", "b", "n1", "n0").toArrow()
     if not best.num_rows:
-        raise ValueError("no word tells toxic labelled rows from others")
+        return NOTHING_LEARNT
     chosen = best["f"].to_numpy().view(np.uint64)
     order = np.argsort(chosen)
     chosen = chosen[order]

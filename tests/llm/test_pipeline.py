@@ -8,7 +8,7 @@ import corpus_pipeline as C
 from lodestone.llm import queries as Q
 from lodestone.llm.common import table
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")  # smaller tables have too few labels to learn from
 
 
 def test_stages_decide(spark, tmp_path):

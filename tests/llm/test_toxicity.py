@@ -66,5 +66,5 @@ def test_odd_tables(odd, none, fitted):
     assert T.score(odd, fitted).count() == odd.count() and T.score(none, fitted).count() == 0
     kept = T.keep_clean(odd, fitted)
     assert kept.columns == odd.columns and kept.count() == odd.count()
-    with pytest.raises(ValueError):
-        T.fit(odd, odd.sparkSession.createDataFrame([], "doc_id long, toxic int"))
+    unlearnt = T.fit(odd, odd.sparkSession.createDataFrame([], "doc_id long, toxic int"))
+    assert T.score(odd, unlearnt).where("is_toxic or p_toxic > 0.01").count() == 0 and T.keep_clean(odd, unlearnt).count() == odd.count()
