@@ -87,7 +87,7 @@ def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, tex
         # Lines before the header go by number; the rest is parsed as rows. Line numbers follow the file's own order.
         text = spark.read.text(path)
         if report.encoding != "utf-8":
-            text = text.select(F.decode(F.col("value").cast("binary"), F.lit(report.encoding)).alias("value"))
+            text = text.select(F.decode(F.col("value").cast("binary"), report.encoding.upper()).alias("value"))
         numbered = text.rdd.zipWithIndex().filter(lambda x: x[1] not in skipped and x[1] != header_line).map(lambda x: x[0][0])
         df = spark.read.options(**{k: v for k, v in options.items() if k not in ("encoding", "multiLine")}).schema(raw_schema).csv(numbered)
     else:
