@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Java regular expressions; each also reads the same to Python's re where it is used there.
+#: As the reference has them, for Python's re; ``java`` gives the same to Spark.
 PATTERNS: dict[str, str] = {
-    "phone": r"(?<!\d)(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "dob_kw": r"(?i)\b(?:dob|d\.o\.b\.?|date of birth|born)\b\W{0,3}\d{1,2}[/-]\d{1,2}[/-]\d{2,4}",
-    "alien_num": r"\bA[- #]?\d{8,9}\b",
-    "driver_lic": r"(?i)\b(?:driver'?s? lic(?:ense)?|dl|oln)\b[ #:.]{0,4}(?=[a-z0-9-]*\d)[a-z0-9-]{5,15}\b",
-    "race_sex": r"\b[WBHAIU]/[MF]\b",
-    "possible_birthdate": r"(?<!\d)(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19[2-9]\d|200\d)(?!\d)",
-    "phone_compact": r"(?<!\d)[2-9]\d{2}[2-9]\d{6}(?!\d)",
+    "phone": r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b|\(\d{3}\)[-.\s]?\d{3}[-.\s]?\d{4}\b",
+    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "email": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
+    "dob_kw": r"(?i)\bD\.?O\.?B\.?\b",
+    "alien_num": r"\bA#?[\s-]?\d{3}[\s-]?\d{3}[\s-]?\d{2,3}\b",
+    "driver_lic": r"\b(?:OLN|DLN|DL|OL)\s?#?\s?(?=[A-Z0-9]*\d)[A-Z0-9]{6,}\b",
+    "race_sex": r"\b[BWHAI]\s?/\s?[MF]\b",
+    "possible_birthdate": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d\d\b",
+    "phone_compact": r"\b\d{10}\b",
 }
+_WORD = r"[\p{L}\p{N}_]"
+#: What Python's classes are to Java, whose own know ASCII alone or count combining marks as letters.
+_JAVA = {r"\w": _WORD, r"\d": r"\p{Nd}", r"\s": r"[\s\x1c-\x1f\x85\p{Z}]", r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"}
 #: Weak signs: they count for broad exposure alone, and the last is never redacted.
 BROAD_ONLY = frozenset(("race_sex", "possible_birthdate", "phone_compact"))
 REDACTION_EXEMPT = frozenset(("phone_compact",))
@@ -25,5 +30,19 @@ RECIPE = ("alien_num", "ssn", "phone", "email")
 PLACEHOLDERS = {k: f"[{n}]" for k, n in {"phone": "PHONE", "ssn": "SSN", "email": "EMAIL", "dob_kw": "DOB", "alien_num": "A-NUMBER", "driver_lic": "LICENSE", "race_sex": "DESCRIPTOR", "possible_birthdate": "DATE"}.items()}
 
 
+#: What must follow a word's start, where it is word characters alone: it is looked at first, as it seldom holds.
+_START = re.compile(r"\\b(\\d|[A-Za-z](?![?*{])|\[[A-Za-z]+\](?![?*{])|\(\?:[^()]*\)(?![?*{]))")
+#: Characters without which a pattern can't match.
+_NEEDS = {PATTERNS["email"]: "@", PATTERNS["race_sex"]: "/"}
+
+
+def java(pattern: str) -> str:
+    """The pattern for Java, with Python's Unicode meaning of \\w, \\d, \\s and \\b."""
+    started = _START.sub(lambda m: f"(?={m[1]})(?<!{_WORD}){m[1]}", pattern)
+    return re.sub(r"\\[wdsb]", lambda m: _JAVA[m.group()], started)
+
+
 def hits(text: Column, name: str, patterns: dict[str, str] = PATTERNS) -> Column:
-    return F.coalesce(text.cast("string").rlike(patterns[name]), F.lit(False))
+    t, p = text.cast("string"), patterns[name]
+    found = t.rlike(java(p))
+    return F.coalesce(t.contains(_NEEDS[p]) & found if p in _NEEDS else found, F.lit(False))

@@ -230,7 +230,30 @@ def pii_sweep(spark: SparkSession, d: str) -> DataFrame:
     return exposure.sweep(table(spark, d, "documents"), "text").where("category in ('email', 'ssn', 'nonblank')")
 
 
-@query()
+def _pii_sql() -> str:
+    """The sweep of all nine patterns as SQL: RE2 has no lookaround, so a word's ends are the characters beside it."""
+    a, z, d, s = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)", r"\p{Nd}", r"\s\x0b\x1c-\x1f\x85\p{Z}"
+    w = r"\p{L}\p{N}_"
+    letters = [rf"[A-Z]{{{k}}}[0-9][A-Z0-9]{{{5 - k},}}" for k in range(5)]
+    of = {
+        "phone": rf"{a}{d}{{3}}[-.{s}]{d}{{3}}[-.{s}]{d}{{4}}{z}|\({d}{{3}}\)[-.{s}]?{d}{{3}}[-.{s}]?{d}{{4}}{z}",
+        "ssn": rf"{a}{d}{{3}}-{d}{{2}}-{d}{{4}}{z}",
+        "email": rf"[{w}][.+-]*@[{w}-]+\.[.-]*[{w}]",
+        "dob_kw": rf"{a}[Dd]\.?[Oo]\.?[Bb]{z}",
+        "alien_num": rf"{a}A#?[{s}-]?{d}{{3}}[{s}-]?{d}{{3}}[{s}-]?{d}{{2,3}}{z}",
+        "driver_lic": rf"{a}(?:OLN|DLN|DL|OL)[{s}]?#?[{s}]?(?:{'|'.join(letters)}|[A-Z]{{5,}}[0-9][A-Z0-9]*){z}",
+        "race_sex": rf"{a}[BWHAI][{s}]?/[{s}]?[MF]{z}",
+        "possible_birthdate": rf"{a}(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]{d}|3[01])[/-](?:19|20){d}{d}{z}",
+        "phone_compact": rf"{a}{d}{{10}}{z}",
+    }
+    weak = ("race_sex", "possible_birthdate", "phone_compact")
+    any_of = {"strict": " or ".join(k for k in of if k not in weak), "broad": " or ".join(of), "nonblank": "true"}
+    each = " union all ".join(f"select '{k}' as category, cast(coalesce(sum(case when {v} then n end), 0) as bigint) as weighted, cast(count(case when {v} then 1 end) as bigint) as distinct_texts from f" for k, v in ({k: k for k in of} | any_of).items())
+    matched = ", ".join(f"regexp_matches(text, '{p}') as {k}" for k, p in of.items())
+    return rf"with t as (select text, count(*) as n from (select regexp_replace(text, '^\s+|\s+$', '', 'g') as text from documents) where text <> '' group by text), f as (select n, {matched} from t) {each}"
+
+
+@query(_pii_sql())
 def pii_sweep_all(spark: SparkSession, d: str) -> DataFrame:
     return exposure.sweep(table(spark, d, "documents"), "text")
 
