@@ -5,9 +5,10 @@
 2. The battery asks whether a run could be random over that alphabet: chi-squared uniformity (two-sided: a counter is too
    even), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial correlation. Their p-values are combined
    by Fisher's method. A run whose combined value is below ``REJECT`` is structured, and no secret.
-3. What passes may still be ordinary text that is too short to tell. Its p-value under that null, that characters come
-   with the frequencies that this alphabet has in all documents outside such runs, is the lower tail of the chi-squared
-   statistic.
+3. What passes may still be ordinary text. Its likelihood over uniform characters of its alphabet, divided by that under
+   ordinary text, is its evidence: a Markov chain of the characters, case aside, as it is in all documents outside such runs,
+   and the same with plain English in place of these documents; the lesser of the two counts. Under ordinary text a ratio of
+   x or more has a probability of 1 / x at most, so 1 / x (times the alphabets that it was chosen from) is the p-value.
    Benjamini-Hochberg at level ``FDR`` runs within each encoding and band of lengths, so crowds of short words don't
    decide over long keys, nor the other way round. p-values are counted in fine bins, each taken at its upper edge, so the
    tables that leave the executors have a bounded size at any scale.
@@ -23,14 +24,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import per_slice, raw, written
+from lodestone.llm.common import per_slice, raw
 
 #: Characters of a candidate, at least.
 LEAST = 16
@@ -67,6 +67,19 @@ for _k, _alphabet in enumerate(ENCODINGS.values()):
     for _v, _c in enumerate(_alphabet):
         _VALUES[_k, ord(_c)] = _v
 _SIZES = np.array([len(a) for a in ENCODINGS.values()])
+#: Bits of a letter after another in English, from a to z, in hexadecimal.
+_ENGLISH = """
+c546a87c5c7343c6c33266986a 4a682ccc53c3ab47c5693ccc3c 3c6b3cc45c53ab39c5824ccc9c 56951ccc2cc6cb4cca4749cc6c
+584365797cc553a56334c6746c 4bcc45ac2ca5cc29c4a53ccc7c 598c2a543cc47379c4453bcccc 3ccc1ccc3cca8b3cc6b79cccac
+6646546cac855237c633c6c8c7 7b7b0bbbbbbbbb7bbbbb5bbbbb 5b8b19693bb8b694b6495b6bbb 3c9525ac3cc3ba39ca45498c4c
+35cb1ccc5ccb5943c9675ccc9c 4a3338395cb67649cb4267cc7c 8454748c7c754265c254465acb 3ca62bc85ca3a944c3737ccc5c
+aaaaaaaaaaaaaaaaaaaa0aaaaa 3875285c3c995547c545597c5c 6c5b29c53c969955ac324cac6c 4b7a3bc23cc78b4ac4455c8c5c
+4557386c4cc34384c433cccccc 1ccc1ccc3ccc8c5cccbbbccccc 3cc94cc21cc7c63cc55ccc9cca 4c293cc94cccac72cc73cca78c
+986c6ccc4cc87351cc33c84ccc 39991699399999699979999959
+""".split()
+#: So many pairs after each character count as if they had been seen at a uniform choice.
+_PRIOR = 16.0
+_FOLD = np.array([ord(chr(c).lower()) for c in range(128)])
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -74,10 +87,6 @@ def _normal_tail(z: np.ndarray) -> np.ndarray:
     return np.array([math.erfc(abs(x) / math.sqrt(2)) for x in z.tolist()])
 
 
-def _lower_tail(z: np.ndarray) -> np.ndarray:
-    return np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z.tolist()])
-
-
 def runs_of(texts: list[str | None]) -> tuple[list[int], list[int], list[str]]:
     """Row, start in characters, and string of each candidate."""
     row, start, found = [], [], []
@@ -141,13 +150,48 @@ def band(size: np.ndarray) -> np.ndarray:
     return np.floor(2 * np.log2(size / LEAST)).astype(np.int64)
 
 
-def ordinary(enc: np.ndarray, size: np.ndarray, squares: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """P(a run of ordinary characters looks as even as this one). frequency: by encoding and place, sums 1."""
-    s2, s3 = (frequency**2).sum(axis=1)[enc], (frequency**3).sum(axis=1)[enc]
-    n = size.astype(np.float64)
-    mean = n * (1 - s2) + n * n * s2
-    var = 4 * n**3 * np.maximum(s3 - s2**2, 0) + 2 * n**2 * s2**2 + n
-    return _lower_tail((squares - mean) / np.sqrt(var))
+def _english() -> np.ndarray:
+    """Of each character (case folded), how often others follow in plain words, numbers and separators."""
+    letter, digit, other = (np.array(list(x.encode())) for x in (_LOWER, _DIGIT, "+/-_"))
+    out = np.zeros((128, 128))
+    for a, row in zip(letter, _ENGLISH):
+        out[a, letter] = 2.0 ** -np.array([int(c, 16) for c in row])
+        out[a, letter] *= 0.9 / out[a, letter].sum()
+    for group, weights in ((letter, (0.0, 0.05, 0.05)), (digit, (0.2, 0.7, 0.1)), (other, (0.7, 0.25, 0.05))):
+        for to, w in zip((letter, digit, other), weights):
+            out[np.ix_(group, to)] += w / len(to)
+    return out
+
+
+def evidence(pairs: np.ndarray) -> np.ndarray:
+    """Of each null (these documents, English), encoding and pair of characters: log of the uniform choice's probability over
+    that under the null. pairs: counts of two ASCII characters in a row."""
+    folded = np.zeros((128, 128))
+    np.add.at(folded, (_FOLD[:, None], _FOLD[None, :]), pairs)
+    out = np.zeros((2, len(_NAMES), 128, 128), np.float32)
+    every, times = np.unique(_FOLD[list(ENCODINGS["base64_any"].encode())], return_counts=True)
+    for null, (table, prior) in enumerate(((folded, _PRIOR), (_english(), 0.0))):
+        seen = table[:, every]
+        under = np.ones((128, 128))
+        under[:, every] = (seen + prior * times / times.sum() + 1e-12) / (seen.sum(axis=1, keepdims=True) + prior + 1e-12)
+        for k, alphabet in enumerate(ENCODINGS.values()):
+            at = np.array(list(alphabet.encode()))
+            chars, where, n = np.unique(_FOLD[at], return_inverse=True, return_counts=True)
+            out[null, k][np.ix_(at, at)] = np.log((n / n.sum())[where] / under[np.ix_(_FOLD[at], _FOLD[at])])
+    return out
+
+
+def ordinary(found: list[str], enc: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """P(a run of ordinary characters speaks as much for a uniform choice as this one), at most."""
+    if not found:
+        return np.ones(0)
+    size = np.array([len(s) for s in found], np.int64)
+    flat = np.frombuffer("".join(found).encode("ascii"), np.uint8)
+    at = np.concatenate([[0], np.cumsum(size)[:-1]])
+    gain = np.zeros((2, len(flat)))
+    gain[:, 1:] = ratios[:, np.repeat(enc, size)[1:], flat[:-1], flat[1:]]
+    gain[:, at] = 0
+    return np.minimum(1.0, len(_NAMES) * np.exp(-np.add.reduceat(gain, at, axis=1).min(axis=0)))
 
 
 def _bin(p: np.ndarray) -> np.ndarray:
@@ -155,36 +199,21 @@ def _bin(p: np.ndarray) -> np.ndarray:
 
 
 class Rules:
-    """What a scan decides by: character frequencies of all documents, and the least bin that counts as discovered."""
+    """What a scan decides by: evidence of pairs of characters, and the least bin that counts as discovered."""
 
-    def __init__(self, frequency: np.ndarray, least_bin: dict[tuple[int, int], int]) -> None:
-        self.frequency, self.least_bin = frequency, least_bin
+    def __init__(self, ratios: np.ndarray, least_bin: dict[tuple[int, int], int]) -> None:
+        self.ratios, self.least_bin = ratios, least_bin
 
     def judge(self, found: list[str]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
         """battery(found), p-values under the null of ordinary text, and whether each is a secret."""
         tests = battery(found)
-        enc, size, squares, p_all = tests[0], tests[1], tests[2], tests[6]
-        p = ordinary(enc, size, squares, self.frequency)
+        enc, size, p_all = tests[0], tests[1], tests[6]
+        p = ordinary(found, enc, self.ratios)
         never = BINS_PER_DECADE * DECADES + 1
         least = np.array([self.least_bin.get(x, never) for x in zip(enc.tolist(), band(size).tolist())], np.int64)
         return tests, p, (p_all >= REJECT) & (_bin(p) >= least)
 
 
-def frequencies(count: np.ndarray) -> np.ndarray:
-    """By encoding and place, from counts of the 128 ASCII characters; a half is added to each count. Where an alphabet has
-    letters of one case, those of the other count for them: capitals are too rare in prose to tell how ordinary ones lie."""
-    folded = count.astype(np.float64)
-    for a, b in zip(map(ord, _LOWER), map(ord, _UPPER)):
-        folded[a] = folded[b] = count[a] + count[b]
-    out = np.zeros((len(_NAMES), 128))
-    for k, name in enumerate(_NAMES):
-        here = _VALUES[k] >= 0
-        one_case = not (here[ord("a")] and here[ord("A")])
-        share = (folded if one_case else count)[here] + 0.5
-        out[k, _VALUES[k][here]] = share / share.sum()
-    return out
-
-
 def discover(bins: list[tuple[int, int, int, int]], level: float = FDR) -> dict[tuple[int, int], int]:
     """Benjamini-Hochberg in each (encoding, band) on (encoding, band, bin, count): the least bin that is discovered."""
     groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
@@ -200,39 +229,37 @@ def discover(bins: list[tuple[int, int, int, int]], level: float = FDR) -> dict[
     return out
 
 
+def _pairs(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Counts of two ASCII bytes in a row. first: where a text begins."""
+    ok = (data[:-1] < 128) & (data[1:] < 128)
+    ok[first[(first > 0) & (first < len(data))] - 1] = False
+    return np.bincount((data[:-1].astype(np.int64) * 128 + data[1:])[ok], minlength=128 * 128)
+
+
 def learn(docs: DataFrame, level: float = FDR) -> Rules:
-    """Rules from all documents: one pass over the texts, which sends counts alone."""
+    """Rules from all documents: two passes over the texts, which send counts alone."""
 
     def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
-        col = batch.column("text")
-        found = runs_of(col.to_pylist())[2]
-        count = np.bincount(raw(col)[1], minlength=256)[:128] - np.bincount(np.frombuffer("".join(found).encode(), np.uint8), minlength=128)
-        enc, size, squares, *_ = battery(found)
-        rows, n = np.unique(np.stack([enc, size, squares], axis=1), axis=0, return_counts=True)
-        none = np.full(128, -1, np.int64)
-        return pa.RecordBatch.from_pydict(
-            {
-                "enc": pa.array(np.append(none, rows[:, 0])),
-                "size": pa.array(np.append(np.arange(128), rows[:, 1])),
-                "squares": pa.array(np.append(none, rows[:, 2])),
-                "n": pa.array(np.append(count, n).astype(np.int64)),
-            }
-        )
-
-    seen = docs.select("text").mapInArrow(per_slice(tally, "text"), "enc long, size long, squares long, n long")
-    seen = written(seen.groupBy("enc", "size", "squares").agg(F.sum("n").alias("n")), "secret-counts")
-    count = np.zeros(128)
-    for r in seen.where("enc < 0").collect():  # 128 rows at most
-        count[r["size"]] = r["n"]
-    frequency = frequencies(count)
-
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            enc, size, squares = (b.column(c).to_numpy() for c in ("enc", "size", "squares"))
-            yield pa.RecordBatch.from_pydict({"enc": b.column("enc"), "band": pa.array(band(size)), "bin": pa.array(_bin(ordinary(enc, size, squares, frequency))), "n": b.column("n")})
-
-    bins = seen.where("enc >= 0").mapInArrow(binned, "enc long, band long, bin long, n long").groupBy("enc", "band", "bin").agg(F.sum("n").alias("n"))
-    return Rules(frequency, discover([tuple(r) for r in bins.collect()], level))  # bounded: encodings x bands x bins
+        off, data = raw(batch.column("text"))
+        found = runs_of(batch.column("text").to_pylist())[2]
+        count = _pairs(data, off) - _pairs(np.frombuffer("".join(found).encode(), np.uint8), np.cumsum([len(s) for s in found], dtype=np.int64))
+        at = np.flatnonzero(count)
+        return pa.RecordBatch.from_pydict({"pair": pa.array(at), "n": pa.array(count[at])})
+
+    seen = docs.select("text").mapInArrow(per_slice(tally, "text"), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = np.zeros(128 * 128)
+    for r in seen.collect():  # 16,384 rows at most
+        pairs[r["pair"]] = r["n"]
+    ratios = evidence(pairs.reshape(128, 128))
+
+    def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = runs_of(batch.column("text").to_pylist())[2]
+        enc, size, *_ = battery(found)
+        rows, n = np.unique(np.stack([enc, band(size), _bin(ordinary(found, enc, ratios))], axis=1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_pydict({"enc": pa.array(rows[:, 0]), "band": pa.array(rows[:, 1]), "bin": pa.array(rows[:, 2]), "n": pa.array(n.astype(np.int64))})
+
+    bins = docs.select("text").mapInArrow(per_slice(binned, "text"), "enc long, band long, bin long, n long").groupBy("enc", "band", "bin").agg(F.sum("n").alias("n"))
+    return Rules(ratios, discover([tuple(r) for r in bins.collect()], level))  # bounded: encodings x bands x bins
 
 
 def scan(docs: DataFrame, rules: Rules) -> DataFrame:

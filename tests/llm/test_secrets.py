@@ -69,3 +69,22 @@ def test_odd_tables(odd, none, rules):
     assert S.scan(odd, S.learn(odd)).count() == 0 and S.scan(none, S.learn(none)).count() == 0
     out = S.redact(odd, rules)
     assert out.columns == odd.columns and out.count() == odd.count()
+
+
+def test_recall_at_short_lengths(spark):
+    """Of keys of 16 to 32 characters in prose, with long words and paths among it."""
+    names = ("hex", "hex_upper", "base32", "base36", "base36_upper", "base62", "base64", "base64url")
+    rows, of = [], {}
+    for name in names:
+        for n in (16, 20, 24, 32):
+            for i in range(40):
+                of[len(rows)] = (name, n)
+                rows.append((len(rows), prose(60, len(rows)) + f" key = \"{key(S.ENCODINGS[name], n, 31 * len(rows) + i)}\" " + prose(9, i)))
+    ordinary = "internationalization getElementsByTagName MAX_BUFFER_SIZE_LIMIT how-to-make-a-cake-at-home docs/images/thumbnails/small 20240131120000000 well-established-procedures"
+    rows += [(len(rows) + i, prose(200, 9000 + i) + " " + ordinary) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"] for x in S.scan(df, S.learn(df)).collect()}
+    assert not [i for i in got if i not in of]
+    recall = {c: sum(i in got for i in of if of[i] == c) / 40 for c in set(of.values())}
+    print(sorted(recall.items()))
+    assert all(r >= (0.6 if n == 16 else 0.85) for (_, n), r in recall.items()), recall
