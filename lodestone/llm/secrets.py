@@ -1,7 +1,9 @@
 """Secret scans: a battery of randomness tests on token-like runs, with length-aware false-discovery control.
 
 1. Candidates are maximal runs of ``LEAST`` or more characters of the base64 alphabets. The smallest alphabet that holds
-   a run is its inferred encoding (decimal, hex, base32, base36, letters, base64).
+   a run is its inferred encoding (decimal, hex, base32, base36, letters, base64). A run with - _ / or + in it also has its
+   parts, the rest after its first label, and both without separators as candidates, each of its own encoding; the run is a
+   secret if one of them is.
 2. The battery asks whether a run could be random over that alphabet: chi-squared uniformity (two-sided: a counter is too
    even), Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial correlation. Their p-values are combined
    by Fisher's method. A run whose combined value is below ``REJECT`` is structured, and no secret.
@@ -62,6 +64,7 @@ ENCODINGS: dict[str, str] = {
 }
 _NAMES = list(ENCODINGS)
 _RUN = re.compile(r"(?<![\w+/-])[A-Za-z0-9+/_-]{%d,}(?![\w+/-])" % LEAST)
+_CUT = re.compile("[-_/+]+")
 _VALUES = np.full((len(_NAMES), 128), -1, np.int64)
 for _k, _alphabet in enumerate(ENCODINGS.values()):
     for _v, _c in enumerate(_alphabet):
@@ -99,6 +102,21 @@ def runs_of(texts: list[str | None]) -> tuple[list[int], list[int], list[str]]:
     return row, start, found
 
 
+def candidates(found: list[str]) -> tuple[np.ndarray, list[str]]:
+    """Number of the run, and string: each run whole; where separators cut it also its parts of ``LEAST`` or more characters,
+    the run less its first label, and both without separators."""
+    owner, out = [], []
+    for i, s in enumerate(found):
+        some = [s]
+        if m := _CUT.search(s):
+            rest = s[m.end() :]
+            some += [*_CUT.split(s), rest, _CUT.sub("", s), _CUT.sub("", rest)]
+        some = [x for x in dict.fromkeys(some) if len(x) >= LEAST]
+        owner += [i] * len(some)
+        out += some
+    return np.array(owner, np.int64), out
+
+
 def battery(found: list[str]) -> tuple[np.ndarray, ...]:
     """Of each run: encoding, length, sum of squared counts, and p-values of uniformity, runs, serial correlation and all."""
     m = len(found)
@@ -205,13 +223,18 @@ class Rules:
         self.ratios, self.least_bin = ratios, least_bin
 
     def judge(self, found: list[str]) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-        """battery(found), p-values under the null of ordinary text, and whether each is a secret."""
-        tests = battery(found)
+        """Of each run's candidate that speaks most for a secret: battery, p-value under the null of ordinary text, and
+        whether it is a secret."""
+        owner, strings = candidates(found)
+        tests = battery(strings)
         enc, size, p_all = tests[0], tests[1], tests[6]
-        p = ordinary(found, enc, self.ratios)
+        p = ordinary(strings, enc, self.ratios)
         never = BINS_PER_DECADE * DECADES + 1
         least = np.array([self.least_bin.get(x, never) for x in zip(enc.tolist(), band(size).tolist())], np.int64)
-        return tests, p, (p_all >= REJECT) & (_bin(p) >= least)
+        secret = (p_all >= REJECT) & (_bin(p) >= least)
+        order = np.lexsort((p, ~secret, owner))
+        best = order[np.unique(owner[order], return_index=True)[1]]
+        return tuple(x[best] for x in tests), p[best], secret[best]
 
 
 def discover(bins: list[tuple[int, int, int, int]], level: float = FDR) -> dict[tuple[int, int], int]:
@@ -253,7 +276,7 @@ def learn(docs: DataFrame, level: float = FDR) -> Rules:
     ratios = evidence(pairs.reshape(128, 128))
 
     def binned(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = runs_of(batch.column("text").to_pylist())[2]
+        found = candidates(runs_of(batch.column("text").to_pylist())[2])[1]
         enc, size, *_ = battery(found)
         rows, n = np.unique(np.stack([enc, band(size), _bin(ordinary(found, enc, ratios))], axis=1), axis=0, return_counts=True)
         return pa.RecordBatch.from_pydict({"enc": pa.array(rows[:, 0]), "band": pa.array(rows[:, 1]), "bin": pa.array(rows[:, 2]), "n": pa.array(n.astype(np.int64))})
@@ -263,7 +286,8 @@ def learn(docs: DataFrame, level: float = FDR) -> Rules:
 
 
 def scan(docs: DataFrame, rules: Rules) -> DataFrame:
-    """A row for each secret: doc_id, start (in characters), length, encoding, the p-values, and a digest instead of the secret."""
+    """A row for each secret: doc_id, start (in characters) and length of the run, encoding and p-values of the candidate that
+    decided, and a digest of the run instead of the secret."""
     import hashlib
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -272,7 +296,7 @@ def scan(docs: DataFrame, rules: Rules) -> DataFrame:
         keep = np.flatnonzero(secret)
         if not len(keep):
             return None
-        cols = {"doc_id": batch.column("doc_id").take(pa.array(np.array(row)[keep])), "start": pa.array(np.array(start, np.int64)[keep]), "length": pa.array(tests[1][keep].astype(np.int32))}
+        cols = {"doc_id": batch.column("doc_id").take(pa.array(np.array(row)[keep])), "start": pa.array(np.array(start, np.int64)[keep]), "length": pa.array(np.array([len(found[i]) for i in keep], np.int32))}
         cols["encoding"] = pa.array([_NAMES[k] for k in tests[0][keep]])
         cols |= {name: pa.array(x[keep]) for name, x in (("p_uniform", tests[3]), ("p_runs", tests[4]), ("p_serial", tests[5]), ("p_random", tests[6]), ("p_ordinary", p))}
         cols["sha256"] = pa.array([hashlib.sha256(found[i].encode()).hexdigest() for i in keep])

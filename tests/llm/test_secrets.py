@@ -88,3 +88,22 @@ def test_recall_at_short_lengths(spark):
     recall = {c: sum(i in got for i in of if of[i] == c) / 40 for c in set(of.values())}
     print(sorted(recall.items()))
     assert all(r >= (0.6 if n == 16 else 0.85) for (_, n), r in recall.items()), recall
+
+
+def test_labels_and_separators(spark):
+    hexa, b62 = "0123456789abcdef", S.ENCODINGS["base62"]
+    uuid = lambda k: "-".join((k[:8], k[8:12], k[12:16], k[16:20], k[20:]))
+    made = [lambda i: "key-" + key(hexa, 32, i), lambda i: "token_" + key(hexa, 40, i), lambda i: uuid(key(hexa, 32, i)), lambda i: "sk_live_" + key(b62, 24, i), lambda i: "id-" + uuid(key(hexa, 32, i))]
+    rows = [(i, prose(60, 500 + i) + f" {made[i % 5](i)} " + prose(9, i)) for i in range(300)]
+    ordinary = "a-very-long-name-with-hyphens some_function_name_with_words docs/images/thumbnails/small MAX-BUFFER-SIZE-LIMIT 2024-01-02-03-04-05-06"
+    rows += [(300 + i, prose(200, 900 + i) + " " + ordinary) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = S.learn(df)
+    found = S.scan(df, rules).collect()
+    assert not [x for x in found if x["doc_id"] >= 300]
+    recall = [sum(x["doc_id"] % 5 == k for x in found) / 60 for k in range(5)]
+    print(recall)
+    assert min(recall) >= 0.85
+    assert all(x["length"] == len(made[x["doc_id"] % 5](x["doc_id"])) for x in found)  # the run goes, with its label
+    text = {r["doc_id"]: r["text"] for r in S.redact(df, rules).collect()}
+    assert all(S.MASK in text[x["doc_id"]] and made[x["doc_id"] % 5](x["doc_id"]) not in text[x["doc_id"]] for x in found)
