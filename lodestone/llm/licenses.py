@@ -53,7 +53,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("gpl_by", rf"(?:this (?:work|file|software|project|document|code) is )?(?:released|licensed|distributed|available) under (?:the terms of )?the gnu general public license,? ?v?(?:ersion)? ?{_VERSION}(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
     ("lgpl_by", rf"(?:this (?:work|file|software|project|document|code) is )?(?:released|licensed|distributed|available) under (?:the terms of )?the gnu (?:lesser|library) general public license,? ?v?(?:ersion)? ?{_VERSION}(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
     ("agpl_by", rf"(?:this (?:work|file|software|project|document|code) is )?(?:released|licensed|distributed|available) under (?:the terms of )?the gnu affero general public license,? ?v?(?:ersion)? ?{_VERSION}(?P<later> or (?:at your option )?(?:any )?later(?: version)?)?"),
-    ("gpl_free", rf"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>affero |lesser |library )?general public license as published by the free software foundation either version {_VERSION} of the license(?: or at your option any later version)?"),
+    ("gpl_free_later", rf"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>affero |lesser |library )?general public license as published by the free software foundation either version {_VERSION} of the license or at your option any later version"),
+    ("gpl_free", rf"this (?:program|library|file) is free software you can redistribute it and or modify it under the terms of the gnu (?P<kind>affero |lesser |library )?general public license as published by the free software foundation(?: either)? version {_VERSION} of the license"),
     ("gpl_later", r"or at your option any later version(?: of the license)?"),
     ("gpl_hope", r"this (?:program|library|file) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl_without", r"without even the implied warranty of merchantability or fitness for a particular purpose"),
@@ -86,8 +87,13 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("BSD-style", ("bsd_style_by",)),
     ("{gnu}-or-later", ("gpl_free", "gpl_later", "gpl_hope", "gpl_see", "gpl_received")),
     ("{gnu}-or-later", ("gpl_free", "gpl_later")),
+    ("{gnu}", ("gpl_free_later", "gpl_hope", "gpl_without", "gpl_see", "gpl_received")),
+    ("{gnu}", ("gpl_free_later", "gpl_hope", "gpl_see", "gpl_received")),
+    ("{gnu}", ("gpl_free_later", "gpl_hope", "gpl_see")),
+    ("{gnu}", ("gpl_free_later",)),
     ("{gnu}", ("gpl_free", "gpl_hope", "gpl_without", "gpl_see", "gpl_received")),
     ("{gnu}", ("gpl_free", "gpl_hope", "gpl_see", "gpl_received")),
+    ("{gnu}", ("gpl_free", "gpl_hope", "gpl_see")),
     ("{gnu}", ("gpl_free",)),
     ("AGPL-{v}", ("agpl_by",)),
     ("LGPL-{v}", ("lgpl_by",)),
@@ -127,8 +133,14 @@ def identify(text: str) -> list[tuple[str, dict[str, str], int, int, int]]:
     """(identifier, parameters, number of the sentence, start, end) of the known sentences of a text, in order. A sentence's
     lines are tried first, as licence lines often stand in prose without a full stop; if none is known, they are one sentence."""
     out = []
-    for n, (a, b) in enumerate(_cut(text, _BREAK, 0, len(text))):
-        if not _HINT.search(text, a, b):
+    cut = _cut(text, _BREAK, 0, len(text))
+    upto = 0
+    for n, (a, b) in enumerate(cut):
+        if n < upto or not _HINT.search(text, a, b):
+            continue
+        if whole := _joined(text, cut, n):
+            *known, upto = whole
+            out.append((known[0][0], known[0][1], n, known[1], known[2]))
             continue
         lines = _cut(text, _LINE, a, b)
         found = [(known, p, q) for p, q in lines if (known := _known(text[p:q]))] or ([(known, a, b)] if len(lines) > 1 and (known := _known(text[a:b])) else [])
@@ -136,9 +148,25 @@ def identify(text: str) -> list[tuple[str, dict[str, str], int, int, int]]:
     return out
 
 
+def _joined(text: str, cut: list[tuple[int, int]], n: int) -> tuple[tuple[str, dict[str, str]], int, int, int] | None:
+    """A known sentence across semicolons that begins at a line of piece n: what is known, start, end, number of the next piece."""
+    for m in _ACROSS.finditer(text, *cut[n]):
+        last = n + 1
+        while last < min(len(cut), n + 1 + _PIECES) and text[cut[last - 1][1]] == ";" and not _PARAGRAPH.search(text, cut[last - 1][1], cut[last][0]):
+            last += 1
+        for k in range(last, n, -1):
+            if (k > n + 1 or m.start(1) > cut[n][0]) and (known := _known(text[m.start(1) : cut[k - 1][1]])):
+                return known, m.start(1), cut[k - 1][1], k
+    return None
+
+
 _HINT = re.compile(TRIGGER, re.I)
 _BREAK = re.compile(r"[.!?;][^\w\s]*\s+|\n\s*\n|(?<=:)\s*\n")
 _LINE = re.compile(r"[\r\n]+")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+#: How a known sentence begins that may have semicolons in it, at most ``_PIECES`` of them.
+_ACROSS = re.compile(r"(?:\A|^)[^\w\r\n]*(this\W+(?:program|library|file)\W+is\W+(?:free\W+software|distributed\W+in\W+the\W+hope))", re.I | re.M)
+_PIECES = 3
 
 
 def _cut(text: str, at: re.Pattern, start: int, end: int) -> list[tuple[int, int]]:

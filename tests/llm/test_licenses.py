@@ -61,3 +61,41 @@ def test_odd_tables(spark, odd, none):
     assert L.scan(odd).count() == 0 and L.scan(none).count() == 0
     df = spark.createDataFrame([(None, "All rights reserved.", "z"), (1, "x " * 3_000_000 + "end. \nAll rights reserved.", "z")], "doc_id long, text string, licence string")
     assert sorted(r["licence"] for r in L.scan(df).collect()) == ["Proprietary"] * 2
+
+
+def notice(kind, version, what, semi, tail):
+    return f"""This {what} is free software{semi} you can redistribute it and/or modify
+it under the terms of the GNU {kind}General Public License as published by
+the Free Software Foundation{',' if semi == ':' else ';'} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+{kind}General Public License for more details.
+
+You should have received a copy of the GNU {kind}General Public License
+along with this {what}{tail}"""
+
+
+OLD_TAIL = """; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA"""
+NOTICES = [("GPL-2.0", notice("", "2", "program", ";", OLD_TAIL)), ("LGPL-2.1", notice("Lesser ", "2.1", "library", ";", OLD_TAIL)), ("GPL-3.0", notice("", "3", "program", ":", ".  If not, see <https://www.gnu.org/licenses/>."))]
+
+
+@pytest.mark.parametrize("comment", ["", "# ", " * "])
+@pytest.mark.parametrize(("expected", "text"), NOTICES)
+def test_gnu_notices(expected, text, comment):
+    """One row each, with every sentence of the notice and 'or later' kept among them."""
+    full = "Copyright (C) 2001 Somebody\n" + "\n".join(comment + line for line in text.split("\n")) + "\n\nint main() { return 0; }\n"
+    (name, sentences, a, b), *rest = L.recognise(full)
+    assert name.removesuffix("-or-later") == expected and not rest
+    assert sentences == ("gpl_free_later", "gpl_hope", "gpl_see", "gpl_received")
+    assert full[a:].startswith("This") and b > full.index("You should")
+
+
+def test_semicolons_still_end_sentences():
+    assert [x[0] for x in L.recognise("Licensed under CC BY-NC 4.0; all rights reserved; x")] == ["CC-BY-NC-4.0", "Proprietary"]
+    assert L.recognise("This program is free software; use it.") == []
+    only = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."
+    assert [x[:2] for x in L.recognise(only)] == [("GPL-2.0", ("gpl_free",))]
