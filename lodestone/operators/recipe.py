@@ -3,6 +3,10 @@
 Result, long: source_id, check_name, status, reason, metric, key, value. status is ok, partial (it ran, but some metric is
 undefined: its value is null, never 0) or skipped (a column is missing). Scalar checks share one aggregate of the table,
 checks on actors share one table of actor counts; each further grouping is one more shuffle of counts.
+
+ai_moderation: every actor whose share of valid hours outside [day_start, day_end) is above overnight_threshold is a row
+(overnight_heavy_actor, value: the share), a lead alone: hours are of one time zone, so the share can come from geography.
+burst_size_distribution has a row for each burst size.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ class _Context:
             if self.has("hour"):
                 h = self.col("hour")
                 valid = F.coalesce((h >= 0) & (h <= 23), F.lit(False))
-                day = valid & (h >= self.cfg.get("day_start", 8)) & (h < self.cfg.get("day_end", 18))
+                day = valid & (h >= self.cfg.get("day_start", 6)) & (h < self.cfg.get("day_end", 18))
             counts = {"n": F.count("*"), "n_external": F.count_if(external), "n_hours": F.count_if(valid), "n_day": F.count_if(day)}
             self._actors = self.df.where(self.col("actor").isNotNull()).groupBy("_source", self.col("actor").cast("string").alias("actor")).agg(*[v.alias(k) for k, v in counts.items()])
         return self._actors
@@ -158,14 +162,18 @@ def run_recipe(df: DataFrame, cfg: Mapping[str, Any], source: str | None = None,
         if c.has("geo"):
             parts.append(_long(there.where("n_external > 0"), "cross_agency", {"external_actor": F.col("n_external")}, F.col("actor")))
     if wanted("ai_moderation"):
-        heavy = F.col("n") > cfg.get("heavy", 1000)
         night = ratio(F.col("n_hours") - F.col("n_day"), F.col("n_hours"))
-        marked = c.actors().groupBy("_source").agg(F.count_if(heavy).alias("heavy"), F.count_if(heavy & (night >= cfg.get("night_share", 0.5))).alias("round_the_clock"))
-        parts.append(_long(marked, "ai_moderation", {"n_heavy": F.col("heavy"), "n_heavy_by_night": F.col("round_the_clock")}))
-        burst = None
+        overnight = F.coalesce(night > cfg.get("overnight_threshold", 0.5), F.lit(False))
+        marked = c.actors().withColumns({"night": night, "overnight": overnight})
+        parts.append(_long(c.df.groupBy("_source").agg(F.lit(0).alias("zero")).join(marked.groupBy("_source").agg(F.count("*").alias("a"), F.count_if("overnight").alias("o")), "_source", "left"), "ai_moderation", {"n_actors": F.coalesce("a", "zero"), "n_overnight_heavy": F.coalesce("o", "zero")}))
+        parts.append(_long(marked.where("overnight"), "ai_moderation", {"overnight_heavy_actor": F.col("night")}, F.col("actor")))
         if c.has("ts"):
-            burst = c.df.where(c.ts().isNotNull() & c.col("actor").isNotNull()).groupBy("_source", c.ts().alias("t"), c.col("actor").alias("a")).agg(F.count("*").alias("n")).groupBy("_source").agg(F.max("n").alias("n"))
-        parts.append(_long(burst, "ai_moderation", {"max_burst": F.col("n")}) if burst is not None else _long(marked, "ai_moderation", {"max_burst": F.lit(None)}))
+            sizes = c.df.where(c.ts().isNotNull() & c.col("actor").isNotNull()).groupBy("_source", c.ts().alias("t"), c.col("actor").alias("a")).agg(F.count("*").alias("size")).groupBy("_source", "size").agg(F.count("*").alias("n"))
+            parts.append(_long(sizes, "ai_moderation", {"burst_size_distribution": F.col("n")}, F.col("size")))
+            burst = c.df.select("_source").distinct().join(sizes.groupBy("_source").agg(F.max("size").alias("n")), "_source", "left")  # null where no time is valid
+        else:
+            burst = c.df.select("_source").distinct().withColumn("n", F.lit(None).cast("bigint"))
+        parts.append(_long(burst, "ai_moderation", {"max_burst": F.col("n")}))
     if skipped:
         reasons = F.array(*[F.struct(F.lit(k).alias("check_name"), F.lit(v).alias("reason")) for k, v in skipped.items()])
         gone = c.df.select("_source").distinct().select(F.col("_source").alias("source_id"), F.explode(reasons).alias("m")).select("source_id", "m.*")

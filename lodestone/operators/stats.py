@@ -56,6 +56,13 @@ def automation_signature(df: DataFrame, actor: str, hour: str, day_start: int =
     return out.select(actor, "n_records", "n_hours", day_share.alias("day_pct"), night.alias("night_pct"), "hours_used", (F.col("n_records") > heavy).alias("is_heavy"))
 
 
+def overnight_signature(df: DataFrame, actor: str, hour: str, day_start: int = 6, day_end: int = 18, overnight_threshold: float = 0.5) -> DataFrame:
+    """Of each actor: shares of valid hours in the half-open day and outside it, and whether the latter is above the threshold,
+    however few the records. An actor without valid hours has shares of 0."""
+    shares = automation_signature(df, actor, hour, day_start, day_end)
+    return shares.select(actor, F.col("day_pct").alias("daytime_pct"), F.col("night_pct").alias("overnight_pct"), (F.col("night_pct") > overnight_threshold).alias("overnight_heavy"))
+
+
 def burstiness(df: DataFrame, ts: str, actor: str | None = None, unit: str | None = None) -> DataFrame:
     """Histogram of how many records share a timestamp (and actor): burst_size, n_groups. unit: cut times to it first."""
     t = F.date_trunc(unit, F.col(ts)) if unit else F.col(ts)

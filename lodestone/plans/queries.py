@@ -112,6 +112,21 @@ def automation(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("day_pct", "night_pct")})
 
 
+@query("""with e as (select user_id, extract(hour from ts) as h from events where user_id is not null), g as (select user_id, count(h) as n, sum(case when h < 6 or h >= 18 then 1 else 0 end) as night from e group by user_id), s as (select user_id, case when n > 0 then (n - night) / cast(n as double) else 0 end as d, case when n > 0 then night / cast(n as double) else 0 end as o from g)
+select user_id, round(d, 6) as daytime_pct, round(o, 6) as overnight_pct, o > 0.5 as overnight_heavy from s""")
+def automation_overnight(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.overnight_signature(table(spark, d, "events").select("user_id", F.hour("ts").alias("h")), "user_id", "h")
+    return out.withColumns({c: F.round(c, 6) for c in ("daytime_pct", "overnight_pct")})
+
+
+@query(f"""with a as (select segment as source_id, cast(actor as varchar) as k, extract(hour from timezone('America/New_York', timezone('UTC', ts))) as h, ts from ({_AUDIT})), g as (select source_id, k, count(h) as n, sum(case when h < 6 or h >= 18 then 1 else 0 end) as night from a where k is not null group by 1, 2),
+b as (select source_id, count(*) as size from a where k is not null and ts is not null group by source_id, ts, k)
+select source_id, 'n_actors' as metric, null as "key", cast(count(*) as double) as value from g group by source_id union all select source_id, 'n_overnight_heavy', null, cast(sum(case when night > 0.5 * n then 1 else 0 end) as double) from g group by source_id
+union all select source_id, 'overnight_heavy_actor', k, round(night / cast(n as double), 6) from g where night > 0.5 * n union all select source_id, 'burst_size_distribution', cast(size as varchar), cast(count(*) as double) from b group by source_id, size union all select source_id, 'max_burst', null, cast(max(size) as double) from b group by source_id""")
+def recipe_overnight(spark: SparkSession, d: str) -> DataFrame:
+    return _findings(spark, d).where("check_name = 'ai_moderation'").select("source_id", "metric", "key", F.round("value", 6).alias("value"))
+
+
 @query(f"select case when nation is null or trim(nation) = '' then 'UNK' when lower(trim(nation)) = '{HOME.lower()}' then 'IN' else 'OOS' end as geo, cast(count(*) as bigint) as n from ({_AUDIT}) group by 1")
 def derive_geo(spark: SparkSession, d: str) -> DataFrame:
     return derive.derive_columns(audit(spark, d), {"geo": {"column": "nation", "home": HOME}}).groupBy("geo").agg(F.count("*").alias("n"))

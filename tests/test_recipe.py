@@ -58,3 +58,13 @@ def test_quality(spark):
     assert {(r["column"], r["anomaly"]) for r in quality.anomalies(more).collect()} == {("a", "all_null"), ("b", "all_blank"), ("c", "type_coercion_mismatch"), ("d", "high_null")}
     assert quality.anomalies(df.limit(0)).count() == 0
     assert quality.check_truncation(2**20 - 1)["truncated"] and not quality.check_truncation(2**20)["truncated"]
+
+
+def test_overnight_actors_of_few_rows(spark):
+    rows = [("night", 23), ("night", 2), ("night", 7), ("half", 3), ("half", 12), ("early", 6), ("early", 7), ("none", None), ("none", 99)]
+    df = spark.createDataFrame([(a, h, "2024-01-01 10:00:00" if a == "night" else f"2024-01-0{i + 1} 10:00:00" if a != "none" else "junk") for i, (a, h) in enumerate(rows)], "a string, h int, ts string")
+    cfg = {"actor": "a", "hour": "h", "ts": "ts"}
+    v = {(r["metric"], r["key"]): r["value"] for r in run_recipe(df, cfg, checks=["ai_moderation"]).collect()}
+    assert v == {("n_actors", None): 4, ("n_overnight_heavy", None): 1, ("overnight_heavy_actor", "night"): pytest.approx(2 / 3), ("burst_size_distribution", "3"): 1, ("burst_size_distribution", "1"): 4, ("max_burst", None): 3}
+    junk = run_recipe(df.where("a = 'none'"), cfg, checks=["ai_moderation"]).collect()
+    assert {(r["metric"], r["value"], r["status"]) for r in junk} == {("n_actors", 1, "partial"), ("n_overnight_heavy", 0, "partial"), ("max_burst", None, "partial")}
