@@ -2,17 +2,23 @@
 
 1. Each text becomes a set of hashed n-grams. Documents with equal sets are one class, so copies cost nothing more.
 2. Classes meet where a band of their MinHash signature agrees (``ROWS`` minima to a band, ``BANDS`` bands: a pair at
-   the threshold of 0.5 meets with probability 0.93, a pair at 0.6 with 0.99). There every row is a query, no bucket is
-   capped, and sizes and 256-bit bitmaps bound the overlap from above: popcount(A & ~B) elements of A can't be in B.
-3. What remains goes to tiles by size band. A tile holds each set once; wider bitmaps bound the overlap again, and
-   the sorted arrays of the pairs left are intersected exactly. Tiles over TILE_BYTES are split into blocks.
-
-The result holds exact similarities: of each class of equal sets the pairs (least doc_id, other, 1.0), and of classes
-the pairs of their least ids. ``expand`` gives all pairs.
-
-Edge cases: texts that are null or have no word have no set and no partner; a text of fewer than n words is one n-gram;
-rows without doc_id are left out; rows that repeat a doc_id are one document, and with different texts it matches where
-any of them does; an empty table gives an empty result; further columns are ignored, whatever their names.
+   the threshold of 0.5 meets with probability 0.995, a pair at 0.6 with 0.9999). No bucket is capped.
+3. A class belongs to the tile of the least class with which it shares a bucket and which size and 256-bit bitmap don't
+   rule out (popcount(A & ~B) elements of A can't be in B); without one, to its own. Where a bucket holds several tiles,
+   its classes also visit the lesser ones. So a group of near copies is one tile, and its pairs are never rows.
+4. Within a tile sets lie by size, so only those within the band of sizes meet; wider bitmaps bound the overlap from above;
+   the sorted arrays of the pairs left are intersected exactly, one set with all that are left for it at once. Tiles of
+   more than TILE_BYTES or TILE_SETS are split into blocks, of which any two meet in one task. What leaves a task
+   is a row for each set: its number of links, and the least document that it is connected to there.
+
+``linked`` returns a row for each document: doc_id, class_id (the least doc_id that it is linked to, directly or through
+others) and n_links, the other documents whose similarity to it is at least the threshold. What is counted is exact: a
+link is lost only if its classes share no bucket and no tile.
+
+Edge cases: texts that are null or have no word have no set and no link; a text of fewer than n words is one n-gram;
+rows without doc_id are left out; rows that repeat a doc_id are one document: with different texts it is linked where any of
+them is, and n_links is summed over its texts; an empty table gives an empty result; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -21,16 +27,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix, per_slice, small_enough, word_hashes, written
+from lodestone.llm.common import components, mix, narrow, per_slice, word_hashes, written
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 20, 3
-#: Bytes of sets in a tile, about.
-TILE_BYTES = 16_000_000
+BANDS, ROWS = 40, 3
+#: Bytes of sets, and sets, in a block of a tile, about.
+TILE_BYTES, TILE_SETS = 16_000_000, 4_000
 _U = np.uint64
 
 
@@ -48,6 +54,11 @@ def shingles(col: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(gram[a : max(a + 1, b - n + 1)]) if b > a else gram[:0] for a, b in zip(starts, starts[1:])]
 
 
+def _prints(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set; flat: the sets one after the other, at: where they begin."""
+    return np.add.reduceat(mix(flat + _U(1)), at).view(np.int64), np.bitwise_xor.reduceat(mix(flat + _U(7)), at).view(np.int64)
+
+
 def _signatures(n: int, bands: int, rows: int):  # noqa: ANN202
     rng = np.random.default_rng(20)
     factors = rng.integers(0, 2**63, bands * rows, np.uint64) * _U(2) + _U(1)
@@ -67,9 +78,8 @@ def _signatures(n: int, bands: int, rows: int):  # noqa: ANN202
         bits = np.zeros((len(there), 256), bool)
         bits[np.repeat(np.arange(len(there)), size), (flat >> _U(56)).astype(np.int64)] = True
         words = np.packbits(bits, axis=1).view(np.int64)
-        cols = {"doc_id": batch.column("doc_id").take(pa.array(there)), "size": pa.array(size.astype(np.int32))}
-        cols["f1"] = pa.array(np.add.reduceat(mix(flat + _U(1)), at).view(np.int64))
-        cols["f2"] = pa.array(np.bitwise_xor.reduceat(mix(flat + _U(7)), at).view(np.int64))
+        f1, f2 = _prints(flat, at)
+        cols = {"doc_id": batch.column("doc_id").take(pa.array(there)), "size": pa.array(size.astype(np.int32)), "f1": pa.array(f1), "f2": pa.array(f2)}
         cols["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(there) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
         cols |= {f"b{k}": pa.array(np.ascontiguousarray(words[:, k])) for k in range(4)}
         return pa.RecordBatch.from_pydict(cols)
@@ -77,142 +87,213 @@ def _signatures(n: int, bands: int, rows: int):  # noqa: ANN202
     return run
 
 
-def classes(docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each distinct set: rep (its least doc_id), ids (all), size, keys, b0 to b3. One shuffle, without texts."""
-    schema = "doc_id long, size int, f1 long, f2 long, keys array<long>, b0 long, b1 long, b2 long, b3 long"
-    one = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(per_slice(_signatures(n, bands, rows), "text"), schema)
-    same = [F.first(c).alias(c) for c in ("keys", "b0", "b1", "b2", "b3")]
-    return one.groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"), *same).drop("f1", "f2")
-
-
-def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, sa, sb) of classes that meet in a band and that size and bitmap don't rule out."""
-    rows = reps.select(F.explode("keys").alias("key"), "rep", "size", "b0", "b1", "b2", "b3")
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rep", "size", "b0", "b1", "b2", "b3")]) for side in "xy")
-    lone = lambda p, q: " + ".join(f"bit_count({p}_b{k} & ~{q}_b{k})" for k in range(4))
-    bound = f"least(x_size - ({lone('x', 'y')}), y_size - ({lone('y', 'x')})) >= {threshold / (1 + threshold)!r}d * (x_size + y_size) - 1e-6d"
-    fits = f"x_rep < y_rep and x_size >= {threshold!r}d * y_size and y_size >= {threshold!r}d * x_size and {bound}"
-    met = x.join(y, "key").where(fits)
-    return met.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg(F.max("x_size").alias("sa"), F.max("y_size").alias("sb"))
-
-
-def _tiled(pairs: DataFrame, threshold: float) -> DataFrame:
-    """pairs with a tile: by the least neighbour of a and by size bands, in blocks where a tile would be too large."""
-    lead = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("lead"))
-    led = pairs.join(lead, "a", "left").withColumn("lead", F.coalesce("lead", "a"))
-    member = led.select("lead", F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("sa").alias("s")), F.struct(F.col("b").alias("v"), F.col("sb").alias("s")))).alias("m")).select("lead", "m.*")
-    blocks = member.groupBy("lead", "v").agg(F.max("s").alias("s")).groupBy("lead").agg(F.ceil(F.sum(F.col("s") * 16) / TILE_BYTES).cast("int").alias("blocks")).where("blocks > 1")
-    band = lambda c: F.floor(F.log(F.col(c)) / math.log(1 / threshold))
-    block = lambda c: F.pmod(F.xxhash64(F.col(c)), F.coalesce("blocks", F.lit(1)))
-    return led.join(blocks, "lead", "left").select("a", "b", "sa", "sb", F.xxhash64("lead", band("sa"), band("sb"), block("a"), block("b")).alias("tile"))
-
-
-def _verify(threshold: float):  # noqa: ANN202
-    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        own: dict[tuple[int, int], list[np.ndarray]] = {}
-        for tile, v, s in zip(sets["tile"].to_pylist(), sets["v"].to_pylist(), sets["s"]):
-            own.setdefault((tile, v), []).append(np.frombuffer(s.as_buffer(), "<u8"))
-        tile, a, b = (pairs[c].to_numpy() for c in ("tile", "a", "b"))
-        out = np.full(len(a), -1.0)
-        order = np.argsort(tile, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
-            if not len(group):
+_SIGNED = "doc_id long, size int, f1 long, f2 long, keys array<long>, b0 long, b1 long, b2 long, b3 long"
+_BITS = ("b0", "b1", "b2", "b3")
+
+
+class Classes:
+    """Documents by equal sets. members: doc_id, f1, f2, size; classes: rep (the least doc_id), f1, f2, size, n (documents),
+    keys, b0 to b3. A class is told by rep and f1; rep alone names it, but for a doc_id that has several texts."""
+
+    def __init__(self, docs: DataFrame, n: int = N, bands: int = BANDS, rows: int = ROWS) -> None:
+        one = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(per_slice(_signatures(n, bands, rows), "text"), _SIGNED)
+        signed = written(one, "ngram-signed")
+        # Both aggregates are partial before the shuffle: a set that a third of all rows have is one row of each task.
+        self.members = signed.select("doc_id", "f1", "f2", "size").distinct()
+        reps = written(self.members.groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "ngram-reps")
+        of = narrow(reps.select("f1", "f2", "size", F.col("rep").alias("doc_id"), "n"), 60)
+        self.reps = reps
+        self.classes = written(signed.join(of, ["doc_id", "f1", "f2", "size"]).dropDuplicates(["doc_id", "f1"]).withColumnRenamed("doc_id", "rep"), "ngram-classes")
+
+
+def _fits(x: str, y: str, threshold: float) -> str:
+    """SQL: whether sizes and bitmaps of two sides leave it open that they are similar."""
+    lone = lambda p, q: " + ".join(f"bit_count({p}.{b} & ~{q}.{b})" for b in _BITS)
+    bound = f"least({x}.size - ({lone(x, y)}), {y}.size - ({lone(y, x)})) >= {threshold / (1 + threshold)!r}d * ({x}.size + {y}.size) - 1e-6d"
+    return f"{x}.size >= {threshold!r}d * {y}.size and {y}.size >= {threshold!r}d * {x}.size and {bound}"
+
+
+def _tiled(classes: DataFrame, threshold: float) -> DataFrame:
+    """tile, rep, f1, f2, n, size, guest: the tile that each class belongs to, and those that it visits; only tiles of two or more."""
+    keyed = classes.select("rep", "f1", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1").drop("m"), "ngram-shared")
+    met = written(keyed.join(narrow(shared, 40), "key"), "ngram-met")  # key, rep, f1, first
+    traits = classes.select("rep", "f1", "f2", "n", "size", *_BITS)
+    first = met.where("first < rep").select("rep", "f1", "first").distinct()
+    heads = narrow(written(traits.join(narrow(first.select(F.col("first").alias("rep")).distinct(), 16), "rep", "left_semi"), "ngram-heads"), 90)
+    x, y = traits.alias("x"), heads.alias("y")
+    led = first.alias("m").join(x, (F.col("m.rep") == F.col("x.rep")) & (F.col("m.f1") == F.col("x.f1"))).join(y, F.col("m.first") == F.col("y.rep")).where(_fits("x", "y", threshold))
+    lead = written(led.groupBy(F.col("x.rep").alias("rep"), F.col("x.f1").alias("f1")).agg(F.min("m.first").alias("lead")), "ngram-lead")
+    placed = met.select("key", "rep", "f1").join(narrow(lead, 40), ["rep", "f1"], "left").withColumn("lead", F.coalesce("lead", "rep"))
+    placed = written(placed, "ngram-placed")
+    # Of a bucket's tiles each is one row, however many classes it has there. One class alone is bounded by its bitmap.
+    tiles = placed.groupBy("key", "lead").agg(F.count("*").alias("m"), F.min("rep").alias("one"))
+    several = tiles.groupBy("key").agg(F.count("*").alias("k"), F.min("lead").alias("least")).where("k > 1").select("key", "least")
+    several = written(several, "ngram-several")
+    ahead = tiles.join(narrow(several, 30), "key").select("key", F.col("lead").alias("tile"), F.expr("if(m = 1, one, null)").alias("one"))
+    guests = placed.join(narrow(several, 30), "key").where("lead > least").drop("least").join(ahead, "key").where("tile < lead").select("rep", "f1", "tile", "one").distinct()
+    alone = guests.where("one is not null").alias("g").join(x, (F.col("g.rep") == F.col("x.rep")) & (F.col("g.f1") == F.col("x.f1"))).join(traits.alias("y"), F.col("g.one") == F.col("y.rep")).where(_fits("x", "y", threshold))
+    visits = guests.where("one is null").select("rep", "f1", "tile").unionByName(alone.select("g.rep", "g.f1", "g.tile")).distinct()
+    visits = written(visits, "ngram-visits")
+    own = placed.select("rep", "f1", F.col("lead").alias("tile")).distinct()
+    used = own.where("tile <> rep").select("tile").unionByName(visits.select("tile")).distinct()
+    every = own.join(narrow(written(used, "ngram-tiles"), 16), "tile", "left_semi").withColumn("guest", F.lit(False)).unionByName(visits.withColumn("guest", F.lit(True)))
+    return every.join(traits.select("rep", "f1", "f2", "n", "size"), ["rep", "f1"])
+
+
+def compare(sets: list[np.ndarray], threshold: float, first: np.ndarray, second: np.ndarray, guest: np.ndarray, only_connect: bool = False):  # noqa: ANN201
+    """Yields (i, those j that are similar to i). Each pair of sets comes once at most that has one in first and one in second,
+    and not both guests. only_connect: leaves out pairs that those yielded before connect already."""
+    size = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    sets, size, first, second, guest = [sets[i] for i in order], size[order], first[order], second[order], guest[order]
+    m = len(sets)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = place.astype(np.int32 if len(values) < 2**31 else np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    width = max(512, 1 << int(2 * size[-1] - 1).bit_length())
+    bits = np.zeros((m, width // 64), np.uint64)
+    hashed = values & _U(width - 1)
+    for k in range(m):  # a row at a time: no table of booleans
+        row = np.zeros(width, bool)
+        row[hashed[place[begin[k] : begin[k + 1]]].astype(np.int64)] = True
+        bits[k] = np.packbits(row).view(np.uint64)
+    held = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    hidden = size - held  # elements that share a bit with another one of their own set
+    mark = np.zeros(len(values), np.uint8)
+    label = np.arange(m)
+    rate = threshold / (1 + threshold)
+    at_once = max(1, 4_000_000 // (width // 64))
+    for i in range(m - 1):
+        upto = int(np.searchsorted(size, size[i] / threshold + 1e-6, "right"))  # the band of sizes, beyond i in order
+        if upto <= i + 1:
+            continue
+        want = ((first[i] & second[i + 1 : upto]) | (second[i] & first[i + 1 : upto])) & ~(guest[i] & guest[i + 1 : upto])
+        if only_connect:
+            want &= label[i + 1 : upto] != label[i]
+        js = np.flatnonzero(want) + i + 1
+        if not len(js):
+            continue
+        common = np.concatenate([np.bitwise_count(bits[js[a : a + at_once]] & bits[i]).sum(axis=1, dtype=np.int64) for a in range(0, len(js), at_once)])
+        need = rate * (size[i] + size[js]) - 1e-6
+        js = js[np.minimum(hidden[i], hidden[js]) + common >= need]
+        if not len(js):
+            continue
+        mark[place[begin[i] : begin[i + 1]]] = 1
+        found = []
+        a = 0
+        while a < len(js):
+            if only_connect and a:  # what has become connected meanwhile needs no look
+                js = np.concatenate([js[:a], js[a:][label[js[a:]] != label[i]]])
+                if a >= len(js):
+                    break
+            b = a + 1 if only_connect and not a else min(len(js), a + 4096)
+            part = js[a:b]
+            if 2 * int(size[part].sum()) >= int(begin[part[-1] + 1] - begin[part[0]]):
+                span = mark[place[begin[part[0]] : begin[part[-1] + 1]]]
+                sums = np.add.reduceat(span, begin[part[0] : part[-1] + 1] - begin[part[0]], dtype=np.int64)[part - part[0]]
+            else:
+                sums = np.array([int(mark[place[begin[j] : begin[j + 1]]].sum()) for j in part.tolist()], np.int64)
+            found.append(part[sums >= threshold * (size[i] + size[part] - sums) - 1e-9])
+            a = b
+        mark[place[begin[i] : begin[i + 1]]] = 0
+        js = np.concatenate(found)
+        if len(js):
+            if only_connect:
+                gone = np.unique(label[np.append(js, i)])
+                label[np.isin(label, gone)] = gone[0]
+            yield int(order[i]), order[js]
+
+
+def _verify(threshold: float, only_connect: bool):  # noqa: ANN202
+    def run(rows: pa.Table) -> pa.Table:
+        out: dict[str, list[np.ndarray]] = {c: [] for c in ("rep", "f1", "links", "root")}
+        rows = rows.combine_chunks()
+        tile, p, q, block, rep, f1, n = (rows[c].to_numpy() for c in ("tile", "p", "q", "block", "rep", "f1", "n"))
+        guest = rows["guest"].to_numpy(zero_copy_only=False)
+        bodies = rows["s"].chunk(0) if rows["s"].num_chunks else []
+        order = np.lexsort((f1, rep, q, p, tile))
+        cuts = np.flatnonzero((np.diff(tile[order]) != 0) | (np.diff(p[order]) != 0) | (np.diff(q[order]) != 0)) + 1
+        for group in np.split(order, cuts):
+            if len(group) > 1:  # a repeated row brings its set twice
+                same = (np.diff(rep[group]) == 0) & (np.diff(f1[group]) == 0) & (np.diff(block[group]) == 0) & (np.diff(guest[group].astype(int)) == 0)
+                group = group[np.concatenate([[True], ~same])]
+            if len(group) < 2:
                 continue
-            t = int(tile[group[0]])
-            ids = [v for v in np.unique(np.concatenate([a[group], b[group]])).tolist() if (t, v) in own]
-            arrays = [(v, x) for v in ids for x in own[t, v]]
-            width = max(512, 1 << int(max((len(x) for _, x in arrays), default=1) * 2 - 1).bit_length())
-            bits = np.zeros((len(arrays), width), bool)
-            for k, (_, x) in enumerate(arrays):
-                bits[k, (x & _U(width - 1)).astype(np.int64)] = True
-            maps = np.packbits(bits, axis=1).view(np.uint64)
-            del bits
-            where: dict[int, list[int]] = {}
-            for k, (v, _) in enumerate(arrays):
-                where.setdefault(v, []).append(k)
-            for i in group.tolist():
-                for p in where.get(int(a[i]), ()):
-                    for q in where.get(int(b[i]), ()):
-                        x, y = arrays[p][1], arrays[q][1]
-                        need = threshold / (1 + threshold) * (len(x) + len(y)) - 1e-6
-                        m = maps[p] & maps[q]
-                        only = (maps[p] ^ m, maps[q] ^ m)
-                        if min(len(x) - int(np.bitwise_count(only[0]).sum()), len(y) - int(np.bitwise_count(only[1]).sum())) < need:
-                            continue
-                        common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                        out[i] = max(out[i], common / (len(x) + len(y) - common))
-        keep = out >= threshold
-        return pa.table({"doc_a": a[keep], "doc_b": b[keep], "jaccard": out[keep]})
+            sets = [np.frombuffer(bodies[i].as_buffer(), "<u8") for i in group.tolist()]
+            first, second = block[group] == p[group], block[group] == q[group]
+            links, label = np.zeros(len(group), np.int64), rep[group].copy()
+            for i, js in compare(sets, threshold, first, second, guest[group], only_connect):
+                links[i] += n[group][js].sum()
+                links[js] += n[group][i]
+                joined = np.unique(label[np.append(js, i)])
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+            hit = links > 0
+            for c, x in (("rep", rep[group]), ("f1", f1[group]), ("links", links), ("root", label)):
+                out[c].append(x[hit])
+        return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.int64) for c, x in out.items()})
 
     return run
 
 
-def similar_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """The classes, and the pairs (doc_a, doc_b, jaccard) of their representatives, doc_a < doc_b."""
-    found = written(classes(docs, n, bands, rows), "ngram-classes")
-    pairs = written(_tiled(_candidates(found, threshold), threshold), "ngram-pairs")
-    volume = pairs.agg(F.sum((F.col("sa") + F.col("sb")) * 8)).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / 4 / TILE_BYTES))
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("tile"), F.lit(parts)))
-    sent = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), F.struct("part", "tile").alias("t")).groupBy("doc_id").agg(F.collect_set("t").alias("_tiles"))
-    sent = written(sent, "ngram-tiles")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sent) if small_enough(sent, 100) else sent, "doc_id")
-
-    def arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(t["part"], t["tile"], v, s.tobytes()) for v, tiles, s in zip(batch.column("doc_id").to_pylist(), batch.column("_tiles").to_pylist(), shingles(batch.column("text"), n)) if len(s) for t in tiles]
-        part, tile, v, s = zip(*rows) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(tile, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.binary())], ["part", "tile", "v", "s"])
-
-    sets = texts.mapInArrow(per_slice(arrays, "text"), "part long, tile long, v long, s binary")
-    exact = sets.groupBy("part").cogroup(pairs.select("part", "tile", "a", "b").groupBy("part")).applyInArrow(_verify(threshold), "doc_a long, doc_b long, jaccard double")
-    return found, exact
-
-
-def similar_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_a, doc_b, jaccard) with doc_a < doc_b: see the module's docstring."""
-    found, exact = similar_classes(docs, threshold, n, bands, rows)
-    copies = found.select(F.col("rep").alias("doc_a"), F.explode("ids").alias("doc_b"), F.lit(1.0).alias("jaccard")).where("doc_a < doc_b")
-    return exact.unionByName(copies)
-
-
-def expand(docs: DataFrame, threshold: float = THRESHOLD, **how: int) -> DataFrame:
-    """All pairs, copies included; as many as there are, so quadratic in the size of a class."""
-    found, exact = similar_classes(docs, threshold, **how)
-    ids = found.select("rep", "ids")
-    a, b = ids.toDF("doc_a", "ids_a"), ids.toDF("doc_b", "ids_b")
-    across = exact.join(a, "doc_a").join(b, "doc_b").select("ids_a", "ids_b", "jaccard")
-    within = ids.select(F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
-    every = across.unionByName(within).select(F.explode("ids_a").alias("p"), "ids_b", "jaccard").select("p", F.explode("ids_b").alias("q"), "jaccard").where("p <> q")
-    return every.groupBy(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for each vertex that isn't the least of its component. edges: (u, v). Alternates large and small stars;
-    each round is a written table, and the rounds grow with the logarithm of the largest component."""
-    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    state = None
-    while True:
-        both = edges.select("u", "v").union(edges.select("v", "u"))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        state = now
+def links_of(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bands: int = BANDS, rows: int = ROWS, only_connect: bool = False) -> tuple[Classes, DataFrame]:
+    """The classes, and rep, f1, links, root: linked documents of other classes, and a lesser or equal document to which a class
+    is connected, once or more for each class that has a link. only_connect: links may be too few, connections are whole."""
+    known = Classes(docs, n, bands, rows)
+    spark = docs.sparkSession
+    placed = written(_tiled(known.classes, threshold), "ngram-placed")
+    volume = placed.agg(F.sum(F.col("size") * 8)).first()[0] or 0
+    blocks = placed.groupBy("tile").agg(F.ceil(F.greatest(F.sum("size") * 8 / TILE_BYTES, F.count("*") / TILE_SETS)).cast("int").alias("blocks")).where("blocks > 1")
+    placed = placed.join(narrow(written(blocks, "ngram-blocks"), 16), "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep", "f1"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(volume / TILE_BYTES))
+    p, q = F.least("block", "other"), F.greatest("block", "other")
+    where = F.struct(F.pmod(F.xxhash64("tile", p, q), F.lit(parts)).alias("part"), "tile", p.alias("p"), q.alias("q"), "block", "guest", "f1", "f2", "n")
+    sent = written(placed.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(where).alias("_tiles")), "ngram-sent")
+    texts = docs.select("doc_id", "text").join(narrow(sent, 150), "doc_id")
+    names = ("part", "tile", "p", "q", "block", "guest", "f1", "n")
+
+    def arrays(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = []
+        sets = shingles(batch.column("text"), n)
+        for v, tiles, s in zip(batch.column("doc_id").to_pylist(), batch.column("_tiles").to_pylist(), sets):
+            if len(s):
+                f1, f2 = (int(x[0]) for x in _prints(s, np.zeros(1, np.int64)))
+                body = s.tobytes()
+                found += [(*(t[c] for c in names), v, body) for t in tiles if t["f1"] == f1 and t["f2"] == f2]
+        if not found:
+            return None
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found), kinds)], [*names, "rep", "s"])
+
+    sets = texts.mapInArrow(per_slice(arrays, "text"), "part long, tile long, p int, q int, block int, guest boolean, f1 long, n long, rep long, s binary")
+    return known, sets.groupBy("part").applyInArrow(_verify(threshold, only_connect), "rep long, f1 long, links long, root long")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, only_connect: bool = False, **how: int) -> DataFrame:
+    """doc_id, class_id, n_links: a row for each document; see the module's docstring."""
+    known, found = links_of(docs, threshold, only_connect=only_connect, **how)
+    found = written(found, "ngram-links")
+    counts = found.groupBy("rep", "f1").agg(F.sum("links").alias("links"))
+    # A document that has several texts connects their classes; it stands in members once for each.
+    several = known.members.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    several = written(several, "ngram-several")
+    mixed = known.members.join(narrow(several, 16), "doc_id").join(known.reps, ["f1", "f2", "size"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(mixed))
+    whole = known.reps.join(counts, ["rep", "f1"], "left").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
+    whole = whole.select("f1", "f2", "size", F.coalesce("root", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    near = narrow(written(whole.where("n_links > 0"), "ngram-linked"), 60)
+    every = known.members.join(near, ["f1", "f2", "size"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rest = docs.where("doc_id is not null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return every.unionByName(rest).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, **how: int) -> DataFrame:
     """docs without those that are linked, directly or through others, to a document of a smaller id.
 
-    Every column stays. Documents without a partner, without a word or without an id all stay."""
-    found, exact = similar_classes(docs, threshold, **how)
-    roots = components(exact.select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v")))
-    copies = found.select("rep", F.explode("ids").alias("doc_id"))
-    gone = copies.where("doc_id <> rep").select("doc_id").union(roots.select("v")).distinct()
-    gone = written(gone.toDF("_gone"), "ngram-gone")
-    side = F.broadcast(gone) if small_enough(gone, 40) else gone
-    return docs.join(side, docs["doc_id"] == side["_gone"], "left_anti")
+    Every column stays. Documents without a partner, without a word or without an id all stay. Within a task, pairs that
+    are connected already are not compared."""
+    gone = linked(docs, threshold, only_connect=True, **how).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    gone = narrow(written(gone, "ngram-gone"), 40)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -33,7 +33,7 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,53 +28,89 @@ def corpus(n=260, seed=5):
     return out
 
 
-def test_against_brute_force(spark):
-    texts = corpus()
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    s = list(map(sets, texts))
-    true = {(i, j): jaccard(s[i], s[j]) for i in range(len(s)) for j in range(i + 1, len(s)) if jaccard(s[i], s[j]) >= J.THRESHOLD}
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.expand(df).collect()}
-    assert all(abs(true[p] - v) < 1e-9 for p, v in got.items())  # what is found is exact
-    assert len(got) >= 0.95 * len(true)
-    sure = [p for p, v in true.items() if v >= 0.7]
-    assert len([p for p in sure if p in got]) >= 0.995 * len(sure)
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def test_keep_one(spark):
-    texts = corpus(120, 6)
-    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, rep string")
-    kept = {r["doc_id"] for r in J.keep_one(df).collect()}
-    root = list(range(len(texts)))
+def brute(texts, threshold=J.THRESHOLD):
+    """Of each text: the least text connected to it, and how many are linked to it."""
+    s = list(map(sets, texts))
+    links, root = [0] * len(s), list(range(len(s)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for r in J.expand(df).collect():
-        a, b = find(r["doc_a"]), find(r["doc_b"])
-        root[max(a, b)] = min(a, b)
-    assert kept == {find(i) for i in range(len(texts))}
+    for i in range(len(s)):
+        for j in range(i):
+            if jaccard(s[i], s[j]) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (find(i), links[i]) for i in range(len(s))}
+
+
+def result(df):
+    rows = df.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows)
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows}
+
+
+def test_against_brute_force(spark):
+    texts = corpus()
+    assert result(J.linked(frame(spark, texts))) == brute(texts)
+
+
+def test_keep_one(spark):
+    texts = corpus(120, 6)
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, rep string")
+    assert {r["doc_id"] for r in J.keep_one(df).collect()} == {c for c, _ in brute(texts).values()}
 
 
 def test_copies_in_crowds(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "case when id % 2 = 0 then 'one text that many rows have' else concat('row number ', id, ' of its own kind ', id * 7) end as text")
     assert J.keep_one(df).count() == 1501
-    assert J.similar_pairs(df).where("jaccard = 1.0").count() == 1499
+    assert J.linked(df).where("n_links = 1499 and class_id = 0").count() == 1500
+
+
+def near_copies(n, seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    out = []
+    for i in range(n):
+        t = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 7])):
+            t[rng.randrange(80)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(t))
+    return out
 
 
 def test_tiles_in_blocks(spark, monkeypatch):
-    texts = corpus(90, 7)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    key = lambda d: sorted((r["doc_a"], r["doc_b"]) for r in d.collect())
-    whole = key(J.similar_pairs(df))
-    monkeypatch.setattr(J, "TILE_BYTES", 2000)
-    assert key(J.similar_pairs(df)) == whole
+    texts = corpus(90, 7) + near_copies(60, 8)
+    df = frame(spark, texts)
+    true = brute(texts)
+    assert result(J.linked(df)) == true
+    monkeypatch.setattr(J, "TILE_BYTES", 8000)
+    assert result(J.linked(df)) == true
+    kept = {r["doc_id"] for r in J.keep_one(df).collect()}
+    assert kept == {c for c, _ in true.values()}
+    monkeypatch.setattr(J, "narrow", lambda df, _: df)  # nothing broadcast
+    assert result(J.linked(df)) == true
+
+
+def test_several_texts_of_one_id(spark):
+    a, b = near_copies(1, 1)[0], near_copies(1, 2)[0]
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (9, "on its own"), (9, "on its own")], "doc_id long, text string")
+    assert result(J.linked(df)) == {1: (1, 1), 5: (1, 2), 7: (1, 1), 9: (9, 0)}
+    assert sorted(r["doc_id"] for r in J.keep_one(df).collect()) == [1, 9, 9]
 
 
 def test_odd_tables(odd, none):
-    got = {(r["doc_a"], r["doc_b"]) for r in J.similar_pairs(odd).collect()}
-    assert got == {(4, 5), (6, 7), (9, 10)}
+    got = result(J.linked(odd))
+    assert {d: c for d, c in got.items() if c[1]} == {4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (6, 1), 9: (9, 1), 10: (9, 1)}
+    assert set(got) == {r["doc_id"] for r in odd.collect()} - {None}
     kept = J.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 1, 2, 4, 6, 8, 9)] + [(True, 0)]
-    assert J.similar_pairs(none).count() == 0 and J.keep_one(none).count() == 0
+    assert J.linked(none).count() == 0 and J.keep_one(none).count() == 0
