@@ -1,39 +1,50 @@
-"""Embedding near-dedup: exact pairs within a distance, by dual traversal of cover trees.
+"""Embedding near-dedup: exact links within a distance, by dual traversal of cover trees.
 
-Vectors are scaled to length 1, so cosine similarity >= t is Euclidean distance <= sqrt(2 - 2t). Vectors are dealt to
-blocks by the hash of the id, about ``BLOCK_BYTES`` to a block, so that no block depends on how the vectors lie; every pair
-of blocks meets in one task, and each vector goes to as many tasks as there are blocks: that is the square-root scheme,
-whose shuffle grows with n * sqrt(n) while no task holds more than two blocks.
+Vectors are scaled to length 1, so cosine similarity >= t is Euclidean distance <= sqrt(2 - 2t). Equal vectors are one class,
+so copies cost nothing more.
 
-Each block gets a cover tree, built once: nested levels whose radii halve. A node covers its points within its radius;
-its children are a net of half the radius (no two centres are closer than that) over those points, found farthest first,
-and each child keeps the true greatest distance to its points. The dual traversal starts at the two roots and drops a pair
-of nodes when d(centres) - radius - radius exceeds the distance; otherwise both open, and their children are measured
-against each other in one matrix product. A leaf counts as its points, nodes of radius 0: those of all leaves that a node opens
-to are measured together, and pairs of points exactly, in double precision.
+The top of the tree is one net for all: centres drawn from the data by the hash of the id, about one for each ``BLOCK_BYTES`` of vectors,
+``NET_BYTES`` of them at most. Each vector belongs to the cell of its nearest centre, and a cell has the true greatest distance
+from its centre as radius. A vector also visits those lesser cells whose covering ball comes within the distance of it;
+all other cells are ruled out before anything is shuffled. A cell with its visitors is one task; one of more than BLOCK_BYTES
+is dealt into blocks by hash, any two of which meet in one task.
+
+In a task, residents and visitors get a cover tree each: nested levels whose radii halve. A node covers its points within
+its radius; its children are a net of half the radius (no two centres are closer than that) over those points, found
+farthest first, and each child keeps the true greatest distance to its points. The dual traversal starts at the two roots
+and drops a pair of nodes when d(centres) - radius - radius exceeds the distance, counts it whole when d(centres) + radius +
+radius is within it, and otherwise opens both. A leaf counts as its points, nodes of radius 0: those of all leaves that a
+node opens to are measured together, and pairs of points exactly, in double precision.
+
+``linked`` returns a row for each vector with a direction: vec_id, class_id (the least id that it is linked to, directly
+or through others) and n_links, the other vectors of at least the threshold's similarity. ``near_pairs`` returns the pairs
+of classes. Where vectors have no structure, balls overlap and each vector visits most cells: the work is then quadratic, as
+exact results ask.
 
 Edge cases: null vectors, vectors of no element or with a null, NaN or infinite element, and zero vectors have no
-direction and no partner; rows without an id are left out; rows that repeat an id are one vector each, reported once,
-as near as the nearest of them; vectors of different lengths never pair; ties are all reported; an empty table gives an
-empty result; further columns are ignored.
+direction, no link and no row; rows without an id are left out; rows that repeat an id are one vector: with different
+vectors it is linked where any of them is, and n_links is summed over them; vectors of different lengths never pair; ties
+all count; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import components, narrow, written
 
 #: Cosine similarity from which two vectors are near duplicates.
 THRESHOLD = 0.95
 #: Bytes of vectors in a block, about.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
+#: Bytes of centres, at most: they reach the driver and every task. Beyond them cells grow, and are dealt into blocks.
+NET_BYTES = 32_000_000
 #: Points of a leaf, at most, unless they coincide.
 LEAF = 24
 #: Scalar products held at once.
@@ -98,23 +109,28 @@ class _Side:
         self.centres, self.r = tree.x[tree.centre_rows[self.inner]], tree.r[self.inner]
 
 
-def dual(s: CoverTree, t: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of s and of t whose scalar product is at least the threshold, and the product; all of them. If s is t, each
-    pair may come twice, and each row comes with itself."""
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    none = np.zeros(0, np.int64)
+def dual(s: CoverTree, t: CoverTree, threshold: float, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Yields (rows of s, rows of t, their scalar products): the pairs of at least the threshold are among each yield's, and each
+    pair comes once; if s is t, as either (i, j) or (j, i), and no row with itself. whole: yields None for the products where
+    all rows given are that near to each other (if s is t and both are the same rows, any two of them)."""
+    far = math.sqrt(max(0.0, 2 - 2 * threshold))
+    reach, sure = far + _SLACK, far - 3 * _SLACK
     stack: list[tuple[int, np.ndarray | None, int, np.ndarray | None]] = [(0, None, 0, None)]
     while stack:
         p, a, q, b = stack.pop()
-        left, right = _Side(s, p, a), _Side(t, q, b)
         mirrored = s is t and p == q and a is None and b is None
+        if whole and a is None and b is None:
+            apart = 0.0 if mirrored else float(_distances(s.x[s.centre[p]] @ t.x[t.centre[q]]))
+            if apart + s.radius[p] + t.radius[q] <= sure:
+                yield s.order[slice(*s.range[p])], t.order[slice(*t.range[q])], None
+                continue
+        left, right = _Side(s, p, a), _Side(t, q, b)
         step = max(1, _AT_ONCE // max(1, len(right.points)))
         for k in range(0, len(left.points), step):
             dot = s.x[left.points[k : k + step]] @ t.x[right.points].T
-            u, v = np.nonzero(dot >= threshold - 1e-12)
-            if len(u):
-                out.append((left.points[k : k + step][u], right.points[v], dot[u, v]))
+            if mirrored:
+                dot[np.arange(len(dot))[:, None] + k >= np.arange(len(right.points))[None, :]] = -2
+            yield left.points[k : k + step], right.points, dot
         if len(left.inner) and len(right.inner):
             u, v = np.nonzero(_distances(left.centres @ right.centres.T) - left.r[:, None] - right.r[None, :] <= reach)
             for i, j in zip(left.inner[u].tolist(), right.inner[v].tolist()):
@@ -128,51 +144,223 @@ def dual(s: CoverTree, t: CoverTree, threshold: float) -> tuple[np.ndarray, np.n
             near = left.points[_distances(s.x[left.points] @ right.centres[k]) - right.r[k] <= reach]
             if len(near):
                 stack.append((0, near, j, None))
-    if not out:
-        return none, none, np.zeros(0)
-    return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), width)
+class _Links:
+    """Links and connections of rows, counted as they come."""
+
+    def __init__(self, rep: np.ndarray, n: np.ndarray) -> None:
+        self.n, self.count, self.label = n, np.zeros(len(n), np.int64), rep.copy()
+
+    def add(self, i: np.ndarray, j: np.ndarray, hits: np.ndarray | None) -> None:
+        """i, j: rows; hits: which of each pair are linked, None if all are (of equal i and j, any two)."""
+        if hits is None:
+            inside = len(i) == len(j) and np.array_equal(i, j)
+            self.count[i] += self.n[j].sum() - (self.n[i] if inside else 0)
+            if not inside:
+                self.count[j] += self.n[i].sum()
+            self._join(np.append(i[1:], j), np.broadcast_to(i[:1], len(i) - 1 + len(j)))
+            return
+        if not hits.any():
+            return
+        number = hits.astype(np.float64)
+        self.count[i] += np.rint(number @ self.n[j]).astype(np.int64)
+        self.count[j] += np.rint(self.n[i] @ number).astype(np.int64)
+        u, v = np.nonzero(hits)
+        self._join(i[u], j[v])
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            new = a != b
+            if not new.any():
+                return
+            i, j = i[new], j[new]
+            high, low = np.maximum(a[new], b[new]), np.minimum(a[new], b[new])
+            order = np.lexsort((low, high))
+            high, low = high[order], low[order]
+            keep = np.concatenate([[True], high[1:] != high[:-1]])  # each greater label takes the least that it meets
+            high, low = high[keep], low[keep]
+            at = np.minimum(np.searchsorted(high, self.label), len(high) - 1)
+            self.label = np.where(high[at] == self.label, low[at], self.label)
+
+
+def _matrix(col: pa.Array, width: int) -> np.ndarray:
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), width)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares may not vanish or overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """id_a < id_b and their cosine similarity, for all pairs of at least the threshold."""
-    good = f"exists(x, e -> isnotnull(e) and e <> 0) and not exists(x, e -> isnull(e) or isnan(e) or abs(e) > 1e150)"
+class Cells:
+    """Centres by width, with the true radius and the blocks of each cell."""
+
+    def __init__(self, centres: dict[int, np.ndarray]) -> None:
+        self.centres = centres
+        self.radius: dict[tuple[int, int], float] = {}
+        self.blocks: dict[tuple[int, int], int] = {}
+
+    def distances(self, x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        c = self.centres[x.shape[1]]
+        step = max(1, _AT_ONCE // len(c))
+        for a in range(0, len(x), step):
+            yield slice(a, a + step), _distances(x[a : a + step] @ c.T)
+
+    def visits(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Row and cell of each visit: lesser cells than its own whose ball comes within reach."""
+        w = x.shape[1]
+        radius = np.array([self.radius.get((w, k), -9.0) for k in range(len(self.centres[w]))])
+        rows, cells = [], []
+        for at, d in self.distances(x):
+            u, v = np.nonzero((d - radius[None, :] <= reach) & (np.arange(len(radius))[None, :] < cell[at][:, None]))
+            rows.append(u + at.start)
+            cells.append(v)
+        return np.concatenate(rows), np.concatenate(cells)
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    w = batch.column("w").to_numpy()
+    for width in np.unique(w).tolist():
+        yield width, batch.filter(pa.array(w == width))
+
+
+def _classes(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (id, h1, h2), reps (h1, h2, rep, n), and classes with their vector (rep, h1, n, w, x)."""
+    good = "exists(x, e -> isnotnull(e) and e <> 0) and not exists(x, e -> isnull(e) or isnan(e) or abs(e) > 1e300)"
     clean = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("x"))
     clean = clean.where("id is not null and x is not null").where(good).withColumn("w", F.size("x"))
-    clean = written(clean, "vectors")
-    widths = clean.groupBy("w").agg(F.count("*").alias("n"), F.least(F.lit(4096), F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("w") * 8 / block_bytes))).cast("int").alias("blocks"))
-    dealt = clean.join(F.broadcast(widths.drop("n")), "w").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))  # a row for each width that occurs
+    clean = clean.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), "x"))
+    members = written(clean.select("id", "h1", "h2").distinct(), "vector-members")
+    reps = written(members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vector-reps")
+    one = clean.join(narrow(reps.withColumnRenamed("rep", "id"), 50), ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
+    return members, reps, written(one.select(F.col("id").alias("rep"), "h1", "n", "w", "x"), "vectors")
+
+
+def _cells(classes: DataFrame, block_bytes: int) -> Cells:
+    share = F.least(F.lit(1.0), F.col("w") * F.lit(8.0) / block_bytes)
+    bytes_ = classes.agg(F.sum(share * F.col("w") * 8)).first()[0] or 0.0
+    drawn = F.pmod(F.xxhash64(F.lit(3), "rep", "h1"), F.lit(1 << 30)) / float(1 << 30) < share * min(1.0, NET_BYTES / max(1.0, bytes_))
+    least = classes.groupBy("w").agg(F.min(F.struct(F.xxhash64("rep", "h1").alias("k"), "x")).alias("s")).select("w", "s.x")  # one for each width at least
+    got = classes.where(drawn).select("w", "x").unionByName(least).distinct().toArrow()  # NET_BYTES, about, and a row for each width
+    by: dict[int, np.ndarray] = {}
+    for batch in got.combine_chunks().to_batches():
+        for w, part in _by_width(batch):
+            x = _matrix(part.column("x"), w)
+            by[w] = np.concatenate([by[w], x]) if w in by else x
+    return Cells({w: x[np.lexsort(x.T)] for w, x in by.items()})
+
 
-    def build(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        tree, own = CoverTree(_matrix(rows["x"], key[0].as_py())), rows["id"].to_numpy()
-        return pa.table({"w": [key[0].as_py()], "own": pa.array([key[1].as_py()], pa.int32()), "blocks": pa.array([rows["blocks"][0].as_py()], pa.int32()), "tree": [pickle.dumps((own, tree.__dict__), 5)]}, schema=pa.schema({"w": pa.int32(), "own": pa.int32(), "blocks": pa.int32(), "tree": pa.binary()}))
+_ASSIGNED = "rep long, h1 long, n long, w int, x array<double>, cell int, d double"
+_SENT = "w int, cell int, p int, q int, block int, guest boolean, rep long, h1 long, n long, x binary"
 
-    # Trees are built once. Block p meets block q in one task; a block meets itself too.
-    trees = written(dealt.groupBy("w", "own").applyInArrow(build, "w int, own int, blocks int, tree binary"), "cover-trees")
-    sent = trees.select("w", "own", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    sent = sent.select("w", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "tree")
+
+def _tasks(classes: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
+    """A row for each task that a class takes part in."""
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
+    cells = _cells(classes, block_bytes)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, part in _by_width(batch):
+                found = [(d.argmin(axis=1), d.min(axis=1)) for _, d in cells.distances(_matrix(part.column("x"), w))]
+                cell, d = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d)], [*part.schema.names, "cell", "d"])
+
+    assigned = written(classes.select("rep", "h1", "n", "w", "x").mapInArrow(assign, _ASSIGNED), "vector-cells")
+    size: dict[tuple[int, int], int] = {}
+    for r in assigned.groupBy("w", "cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect():  # a row for each centre at most
+        cells.radius[r["w"], r["cell"]], size[r["w"], r["cell"]] = r["r"] + _SLACK, r["n"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, part in _by_width(batch):
+                at, n = np.unique(cells.visits(_matrix(part.column("x"), w), part.column("cell").to_numpy(), reach)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"w": pa.array([w] * len(at), pa.int32()), "cell": pa.array(at.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+    for r in assigned.select("w", "x", "cell").mapInArrow(count, "w int, cell int, n long").groupBy("w", "cell").agg(F.sum("n").alias("n")).collect():
+        size[r["w"], r["cell"]] = size.get((r["w"], r["cell"]), 0) + r["n"]
+    cells.blocks = {k: max(1, math.ceil(n * k[0] * 8 / block_bytes / 2)) for k, n in size.items()}
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, part in _by_width(batch):
+                x, own = _matrix(part.column("x"), w), part.column("cell").to_numpy()
+                guest_row, guest_cell = cells.visits(x, own, reach)
+                row, cell = np.concatenate([np.arange(len(x)), guest_row]), np.concatenate([own, guest_cell])
+                guest = np.arange(len(row)) >= len(x)
+                blocks = np.array([cells.blocks[w, k] for k in cell.tolist()], np.int64)
+                rep, h1, n = (part.column(c).to_numpy() for c in ("rep", "h1", "n"))
+                block = ((h1[row] ^ (rep[row] * 0x9E3779B1)) % blocks).astype(np.int64)
+                again = np.repeat(np.arange(len(row)), blocks)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                for a in range(0, len(again), max(1, _AT_ONCE // w)):
+                    k = again[a : a + max(1, _AT_ONCE // w)]
+                    o, r = other[a : a + len(k)], row[k]
+                    kinds = (np.full(len(k), w), cell[k], np.minimum(block[k], o), np.maximum(block[k], o), block[k])
+                    body = pa.Array.from_buffers(pa.binary(8 * w), len(k), [None, pa.py_buffer(np.ascontiguousarray(x[r]).tobytes())]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in kinds), pa.array(guest[k]), pa.array(rep[r]), pa.array(h1[r]), pa.array(n[r]), body], ["w", "cell", "p", "q", "block", "guest", "rep", "h1", "n", "x"])
+
+    return assigned.drop("d").mapInArrow(send, _SENT)
+
+
+def _meetings(key: tuple, rows: pa.Table, threshold: float, whole: bool):  # noqa: ANN202
+    """rep, h1 and n of a task's rows, and an iterator of (rows, rows, products) as dual yields them."""
+    rows = rows.sort_by([("guest", "ascending"), ("rep", "ascending"), ("h1", "ascending")]).combine_chunks()
+    w, p, q = key[0].as_py(), key[2].as_py(), key[3].as_py()
+    block, guest = rows["block"].to_numpy(), rows["guest"].to_numpy(zero_copy_only=False)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(len(block), w)
+    sides = {(b, g): np.flatnonzero((block == b) & (guest == g)) for b in {p, q} for g in (False, True)}
+    trees = {k: CoverTree(x[at]) for k, at in sides.items() if len(at)}
+    meet = {((p, False), (q, False)), ((p, False), (q, True)), ((p, True), (q, False))} if p != q else {((p, False), (p, False)), ((p, False), (p, True))}
+
+    def run():  # noqa: ANN202
+        for a, b in sorted(meet):
+            if a in trees and b in trees:
+                for i, j, dot in dual(trees[a], trees[b], threshold, whole):
+                    yield sides[a][i], sides[b][j], dot
+
+    return rows["rep"].to_numpy(), rows["h1"].to_numpy(), rows["n"].to_numpy(), run()
+
+
+def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """id_a < id_b and cosine: all pairs of at least the threshold of the least ids of classes of equal vectors, and (least id, other, 1.0)
+    within a class. As many as there are: a group of m different vectors near each other has m * m / 2."""
+    members, reps, classes = _classes(vectors, id_col, vector_col)
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
-        loaded = {}
-        for own, blob in zip(rows["own"].to_pylist(), rows["tree"]):
-            ids, state = pickle.loads(blob.as_buffer())
-            tree = CoverTree.__new__(CoverTree)
-            tree.__dict__.update(state)
-            loaded[own] = ids, tree
-        p, q = key[1].as_py(), key[2].as_py()
-        if p not in loaded or q not in loaded:  # a block that got no vector
-            return pa.table({"id_a": pa.array([], pa.int64()), "id_b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
-        (ids_p, s), (ids_q, t) = loaded[p], loaded[q]
-        i, j, dot = dual(s, t, threshold)
-        a, b = ids_p[i], ids_q[j]
-        keep = a != b
-        return pa.table({"id_a": np.minimum(a, b)[keep], "id_b": np.maximum(a, b)[keep], "cosine": np.minimum(dot, 1.0)[keep]})
-
-    found = sent.groupBy("w", "p", "q").applyInArrow(task, "id_a long, id_b long, cosine double")
-    return found.groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
+        rep, _, _, found = _meetings(key, rows, threshold, False)
+        out = []
+        for i, j, dot in found:
+            u, v = np.nonzero(dot >= threshold - 1e-12)
+            a, b = rep[i[u]], rep[j[v]]
+            keep = a != b
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.minimum(dot[u, v], 1.0)[keep]))
+        a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"id_a": a, "id_b": b, "cosine": c})
+
+    across = _tasks(classes, threshold, block_bytes).groupBy("w", "cell", "p", "q").applyInArrow(task, "id_a long, id_b long, cosine double")
+    within = members.join(narrow(reps.where("n > 1"), 50), ["h1", "h2"]).where("id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"))
+    return across.unionByName(within).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
+
+
+def linked(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """vec_id, class_id, n_links: a row for each vector that has a direction; see the module's docstring."""
+    members, reps, classes = _classes(vectors, id_col, vector_col)
+
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        rep, h1, n, found = _meetings(key, rows, threshold, True)
+        links = _Links(rep, n)
+        for i, j, dot in found:
+            links.add(i, j, None if dot is None else dot >= threshold - 1e-12)
+        hit = np.flatnonzero(links.count)
+        return pa.table({"rep": rep[hit], "h1": h1[hit], "links": links.count[hit], "root": links.label[hit]})
+
+    found = written(_tasks(classes, threshold, block_bytes).groupBy("w", "cell", "p", "q").applyInArrow(task, "rep long, h1 long, links long, root long"), "vector-links")
+    counts = found.groupBy("rep", "h1").agg(F.sum("links").alias("links"))
+    several = written(members.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "vector-several")
+    mixed = members.join(narrow(several, 16), "id").join(reps, ["h1", "h2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")).unionByName(mixed))
+    all_ = reps.join(counts, ["rep", "h1"], "left").join(roots.withColumnRenamed("v", "rep"), "rep", "left")
+    all_ = all_.select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    near = narrow(written(all_.where("n_links > 0"), "vector-linked"), 60)
+    every = members.join(near, ["h1", "h2"], "left").select(F.col("id").alias("vec_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return every.groupBy("vec_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
