@@ -9,12 +9,14 @@
 4. ``similarity`` compares two digests: each filter of the shorter one meets the filter of the other with which it has most
    bits in common; of these the number expected by chance is taken off, the rest is normalised by the most there could be.
 
-``matches`` compares each document with the first document (least id) that holds one of its features, for every feature:
-documents of one group meet through its first, and the work grows with the number of features, not of pairs.
-
-Edge cases: null and empty texts have no features and an empty digest; a text of fewer than WINDOW bytes has one feature,
-itself; repeated rows get equal digests, and rows that repeat a doc_id count as one document in matches; a row without a doc_id gets a digest and no matches; further columns are ignored; an empty table
-gives an empty result.
+``search`` compares every query with all documents that share a feature with it. Documents of equal digests are one class, compared
+once and reported by its least id and its size. Features meet in a join in which the queries' side is the small one; no
+feature is left out, however many hold it. ``fingerprint`` takes as queries the documents whose id is divisible by ``EVERY``.
+
+Edge cases: null and empty texts have no features, an empty digest and no matches; a text of fewer than WINDOW bytes has one
+feature, itself; repeated rows get equal digests and equal matches, and rows that repeat a doc_id count once in a class; a row
+without a doc_id gets a digest and is in no match; a query is no match of itself, though others of its class are; ties are all
+reported; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SLICE, _power_tables, mix, per_slice, raw, small_enough, written
+from lodestone.llm.common import SLICE, _power_tables, mix, narrow, per_slice, raw, written
 
 WINDOW, SPAN, POINTS = 64, 64, 16
 LEVELS = 1000
@@ -35,6 +37,10 @@ LEAST_LEVEL = 100
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 #: Bit overlap above chance from which two digests are a match.
 MATCH = 0.3
+#: Documents whose id this divides are queries.
+EVERY = 100
+#: Matches in a row of the result, about: a query that has more gets several rows.
+LIST = 10_000
 _U = np.uint64
 _G = np.concatenate([[0.0], np.arange(1, WINDOW + 2) * np.log2(np.arange(1, WINDOW + 2))])
 _G = np.round(_G * (1 << 20)).astype(np.int64)
@@ -206,30 +212,69 @@ def similarity(a: list[bytes], b: list[bytes]) -> float:
     return float((share.max(axis=1) * weight).sum())
 
 
-def matches(found: DataFrame, least: float = MATCH) -> DataFrame:
-    """doc_a, doc_b, similarity with doc_a < doc_b: each document with the first holders of its features. found: doc_id, digest
-    and features."""
-    one = found.where("doc_id is not null").select("doc_id", F.explode("features").alias("f"))
-    first = one.groupBy("f").agg(F.min("doc_id").alias("doc_a"), F.max("doc_id").alias("_last")).where("doc_a < _last").drop("_last")
-    pairs = written(one.join(first, "f").where("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b")).distinct(), "digest-pairs")
-    side = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("digest").alias("digest"))
-    a, b = side.toDF("doc_a", "digest_a"), side.toDF("doc_b", "digest_b")
+def similarities(a: list[list[bytes]], b: list[list[bytes]]) -> np.ndarray:
+    """similarity of each a with its b; digests of one filter all at once."""
+    out = np.zeros(len(a))
+    plain = np.array([len(x) == 1 and len(y) == 1 for x, y in zip(a, b)], bool)
+    for i in np.flatnonzero(~plain).tolist():
+        out[i] = similarity(a[i], b[i])
+    at = np.flatnonzero(plain)
+    if len(at):
+        x, y = (np.frombuffer(b"".join(side[i][0] for i in at.tolist()), np.uint64).reshape(len(at), -1) for side in (a, b))
+        nx, ny, both = (np.bitwise_count(z).sum(axis=1).astype(np.float64) for z in (x, y, x & y))
+        chance = nx * ny / BITS
+        out[at] = np.clip((both - chance) / np.maximum(np.minimum(nx, ny) - chance, 1e-9), 0, 1)
+    return out
+
+
+def search(found: DataFrame, queries: DataFrame, least: float = MATCH) -> DataFrame:
+    """query_id, doc_id, copies, similarity: for each query the classes of equal digests that are a match; of its own class, the least
+    other document and how many others there are. found: doc_id, digest and features; queries: doc_id."""
+    with_id = found.where("doc_id is not null and n_features > 0").withColumn("d1", F.xxhash64("digest")).withColumn("d2", F.xxhash64(F.lit(7), "digest"))
+    members = written(with_id.select("doc_id", "d1", "d2").distinct(), "digest-members")
+    reps = members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    second = members.join(narrow(reps.where("n > 1").select("d1", "d2", "rep"), 40), ["d1", "d2"]).where("doc_id > rep").groupBy("d1", "d2").agg(F.min("doc_id").alias("second"))
+    reps = written(reps.join(second, ["d1", "d2"], "left"), "digest-reps")
+    one = with_id.join(narrow(reps.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), 50), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
+    classes = written(one.select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "digest", "features"), "digest-classes")
+    asked = written(queries.select("doc_id").distinct().join(members, "doc_id"), "digest-asked")
+    asking = classes.join(narrow(asked.select("d1", "d2").distinct(), 24), ["d1", "d2"], "left_semi")
+    asking = written(asking.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("digest").alias("q_digest"), "features"), "digest-asking")
+    wanted = asking.select("q1", "q2", F.explode("features").alias("f"))
+    held = classes.select("d1", "d2", F.explode("features").alias("f"))
+    pairs = held.join(narrow(wanted, 40), "f").where("d1 <> q1 or d2 <> q2").select("q1", "q2", "d1", "d2").distinct()
+    pairs = written(pairs, "digest-pairs")
+    side = narrow(asking.drop("features"), 40 + 2 * BITS // 8)
+    sent = pairs.join(classes.select("d1", "d2", "rep", "n", "digest"), ["d1", "d2"]).join(side, ["q1", "q2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([similarity(x, y) for x, y in zip(batch.column("digest_a").to_pylist(), batch.column("digest_b").to_pylist())])
-            keep = pa.array(s >= least, pa.bool_())
-            yield pa.RecordBatch.from_pydict({"doc_a": batch.column("doc_a"), "doc_b": batch.column("doc_b"), "similarity": pa.array(s, pa.float64())}).filter(keep)
+            s = similarities(batch.column("digest").to_pylist(), batch.column("q_digest").to_pylist())
+            cols = {c: batch.column(c) for c in ("q1", "q2", "rep", "n")} | {"similarity": pa.array(s, pa.float64())}
+            yield pa.RecordBatch.from_pydict(cols).filter(pa.array(s >= least, pa.bool_()))
+
+    alike = sent.select("q1", "q2", "rep", "n", "digest", "q_digest").mapInArrow(run, "q1 long, q2 long, rep long, n long, similarity double")
+    alike = written(alike, "digest-alike")
+    name = asked.select(F.col("doc_id").alias("query_id"), F.col("d1").alias("q1"), F.col("d2").alias("q2"))
+    others = alike.join(narrow(name, 32), ["q1", "q2"]).select("query_id", F.col("rep").alias("doc_id"), F.col("n").alias("copies"), "similarity")
+    own = asked.join(narrow(reps.where("n > 1"), 60), ["d1", "d2"])
+    own = own.select(F.col("doc_id").alias("query_id"), F.expr("if(doc_id = rep, second, rep)").alias("doc_id"), (F.col("n") - 1).alias("copies"), F.lit(1.0).alias("similarity"))
+    return others.unionByName(own)
+
 
-    return pairs.join(a, "doc_a").join(b, "doc_b").mapInArrow(run, "doc_a long, doc_b long, similarity double")
+_NONE = "cast(array() as array<struct<similarity:double,doc_id:bigint,copies:bigint>>)"
 
 
-def fingerprint(docs: DataFrame, least: float = MATCH) -> DataFrame:
-    """doc_id, n_features, digest, matches: an array of (doc_id, similarity) of earlier documents, most alike first."""
+def fingerprint(docs: DataFrame, least: float = MATCH, every: int = EVERY) -> DataFrame:
+    """doc_id, n_features, digest, n_matches, matches: a row for each of docs. Of a query (an id that ``every`` divides), n_matches counts
+    the documents that match it, and matches has their classes: similarity, doc_id (the class's least) and copies, most alike
+    first; beyond LIST of them in further rows. Of other documents both are null."""
     found = written(digests(docs, learn(docs), True), "digests")
-    pairs = matches(found, least)
-    near = pairs.groupBy(F.col("doc_b").alias("_b")).agg(F.expr("sort_array(collect_list(named_struct('similarity', similarity, 'doc_id', doc_a)), false)").alias("matches"))
-    near = written(near, "digest-matches")
-    near = F.broadcast(near) if small_enough(near, 100) else near
-    out = found.join(near, found["doc_id"] == near["_b"], "left")
-    return out.select("doc_id", "n_features", "digest", F.coalesce("matches", F.expr("cast(array() as array<struct<similarity:double,doc_id:bigint>>)")).alias("matches"))
+    hits = written(search(found, found.where(F.col("doc_id") % every == 0), least), "digest-matches")
+    total = hits.groupBy("query_id").agg(F.sum("copies").alias("n_matches"), F.ceil(F.count("*") / LIST).alias("_rows"))
+    lists = hits.join(narrow(total, 32), "query_id").withColumn("_row", F.pmod(F.xxhash64("doc_id"), "_rows"))
+    lists = lists.groupBy("query_id", "_row").agg(F.first("n_matches").alias("n_matches"), F.expr("sort_array(collect_list(named_struct('similarity', similarity, 'doc_id', doc_id, 'copies', copies)), false)").alias("matches"))
+    near = narrow(written(lists.drop("_row"), "digest-lists"), 200)
+    is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    out = found.join(near, found["doc_id"] == near["query_id"], "left")
+    return out.select("doc_id", "n_features", "digest", F.when(is_query, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.when(is_query, F.coalesce("matches", F.expr(_NONE))).alias("matches"))

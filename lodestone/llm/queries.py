@@ -69,4 +69,13 @@ p as (select a.id as a, b.id as b from v a join v b on a.id <> b.id where list_c
 r(id, root) as (select id, id from v union select p.b, r.root from r join p on p.a = r.id)
 select r.id as vec_id, min(r.root) as class_id, (select count(*) from p where p.a = r.id) as n_links from r group by r.id
 """
-ORACLES: dict[str, str] = {"op5_embeddings": _LINKS.format(threshold=cover_tree.THRESHOLD), "embedding_links_wide": _LINKS.format(threshold=WIDE)}
+_SIMILAR = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:[a-z0-9_]|[^\x00-\x7f])+') as w from documents where doc_id is not null),
+g as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [w] else list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) end) as g from w),
+n as (select doc_id, count(*) as n from g group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+ group by a.doc_id, b.doc_id, x.n, y.n having count(*) >= 0.5 * (x.n + y.n - count(*))),
+r(id, root) as (select distinct doc_id, doc_id from w union select p.b, r.root from r join p on p.a = r.id)
+select r.id as doc_id, min(r.root) as class_id, (select count(*) from p where p.a = r.id) as n_links from r group by r.id
+"""
+ORACLES: dict[str, str] = {"op6_ngram_jaccard": _SIMILAR, "op5_embeddings": _LINKS.format(threshold=cover_tree.THRESHOLD), "embedding_links_wide": _LINKS.format(threshold=WIDE)}

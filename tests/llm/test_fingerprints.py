@@ -60,29 +60,62 @@ def test_similarity():
     assert P.similarity([], digest(a)) == 0.0 and P.similarity(digest(a), digest(b)) == pytest.approx(P.similarity(digest(b), digest(a)))
 
 
+def searched(spark, rows, every):
+    return {r["doc_id"]: r for r in P.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), every=every).collect()}
+
+
 def test_matches(spark):
     base = text(400, 6)
-    rows = [(0, base), (1, base + text(40, 7)), (2, text(400, 8)), (3, base), (3, base), (None, base)]
-    got = P.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = [(0, base), (1, base + text(40, 7)), (2, text(400, 8)), (3, base), (3, base), (None, base), (4, None), (5, "")]
+    got = P.fingerprint(spark.createDataFrame(rows, "doc_id long, text string"), every=1).collect()
     assert len(got) == len(rows)
-    near = {r["doc_id"]: [m["doc_id"] for m in r["matches"]] for r in got}
-    assert near[0] == [] and 0 in near[1] and near[2] == [] and 0 in near[3] and near[None] == []
+    near = {r["doc_id"]: r["matches"] and sorted((m["doc_id"], m["copies"]) for m in r["matches"]) for r in got}
+    assert near == {0: [(1, 1), (3, 1)], 1: [(0, 2)], 2: [], 3: [(0, 1), (1, 1)], None: None, 4: [], 5: []}
+    assert {r["doc_id"]: r["n_matches"] for r in got} == {0: 2, 1: 2, 2: 0, 3: 2, None: None, 4: 0, 5: 0}
     assert next(r for r in got if r["doc_id"] == 3)["matches"][0]["similarity"] == 1.0
 
 
-def test_every_first_holder_is_met(spark):
-    """matches against brute force: for each feature, its first holder, if the digests are alike enough."""
+def passages():
+    """Documents that share passages: some consist of nothing but what others hold too."""
+    part = [text(60, 90 + k) for k in range(6)]
     rows = [(i, text(120, i % 4) + " " + text(60, 50 + i % 3)) for i in range(12)]
+    rows += [(20 + i, part[i % 6] + " " + part[(i + 1) % 6]) for i in range(12)] + [(40 + i, part[i]) for i in range(6)]
+    return [*rows, (60, part[0] + " " + part[1] + " " + text(300, 77))]
+
+
+@pytest.mark.parametrize("every", [1, 4])
+def test_search_against_brute_force(spark, every, monkeypatch):
+    """All queries against all documents that share a feature, digest by digest."""
+    rows = passages()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    rank = P.learn(docs)
-    found = {r["doc_id"]: r for r in P.digests(docs, rank, True).collect()}
-    first = {}
-    for i in sorted(found):
-        for f in found[i]["features"]:
-            first.setdefault(f, i)
-    expected = {(first[f], i) for i in found for f in found[i]["features"] if first[f] < i}
-    expected = {(a, b) for a, b in expected if P.similarity(found[a]["digest"], found[b]["digest"]) >= P.MATCH}
-    assert {(r["doc_a"], r["doc_b"]) for r in P.matches(P.digests(docs, rank, True)).collect()} == expected
+    found = {r["doc_id"]: r for r in P.digests(docs, P.learn(docs), True).collect()}
+    expected = {}
+    for q in found:
+        if q % every == 0:
+            alike = {d: P.similarity(found[q]["digest"], found[d]["digest"]) for d in found if d != q and set(found[d]["features"]) & set(found[q]["features"])}
+            expected[q] = {d: v for d, v in alike.items() if v >= P.MATCH}
+    assert any(expected.values())
+    classes = {}
+    for d in sorted(found):
+        classes.setdefault(tuple(found[d]["digest"]), []).append(d)
+    got = {q: r for q, r in searched(spark, rows, every).items() if r["matches"] is not None}
+    assert set(got) == set(expected)
+    for q, r in got.items():
+        assert r["n_matches"] == len(expected[q])
+        reported = {(m["doc_id"], m["copies"]): m["similarity"] for m in r["matches"]}
+        true = {}
+        for group in classes.values():
+            hit = [d for d in group if d in expected[q]]
+            if hit:
+                true[hit[0], len(hit)] = expected[q][hit[0]]
+        assert reported == pytest.approx(true)
+
+
+def test_long_lists_take_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "LIST", 5)
+    docs = spark.createDataFrame(passages(), "doc_id long, text string")
+    rows = [r for r in P.fingerprint(docs, every=20).collect() if r["doc_id"] == 20]
+    assert len(rows) > 1 and sum(m["copies"] for r in rows for m in r["matches"]) == rows[0]["n_matches"]
 
 
 def test_odd_tables(odd, none):
