@@ -5,21 +5,21 @@ so copies cost nothing more.
 
 The top of the tree is one net for all: centres drawn from the data by the hash of the id, about one for each ``BLOCK_BYTES`` of vectors,
 ``NET_BYTES`` of them at most. Each vector belongs to the cell of its nearest centre, and a cell has the true greatest distance
-from its centre as radius. A vector also visits those lesser cells whose covering ball comes within the distance of it;
-all other cells are ruled out before anything is shuffled. A cell with its visitors is one task; one of more than BLOCK_BYTES
-is dealt into blocks by hash, any two of which meet in one task.
+from its centre as radius; one of more than BLOCK_BYTES is dealt into blocks by hash. Two cells meet unless the distance of
+their centres less both radii is beyond the distance asked for, so far cells are ruled out before anything is shuffled.
 
-In a task, residents and visitors get a cover tree each: nested levels whose radii halve. A node covers its points within
-its radius; its children are a net of half the radius (no two centres are closer than that) over those points, found
-farthest first, and each child keeps the true greatest distance to its points. The dual traversal starts at the two roots
-and drops a pair of nodes when d(centres) - radius - radius exceeds the distance, counts it whole when d(centres) + radius +
-radius is within it, and otherwise opens both. A leaf counts as its points, nodes of radius 0: those of all leaves that a
-node opens to are measured together, and pairs of points exactly, in double precision.
+Each block gets a cover tree, built once: nested levels whose radii halve. A node covers its points within its radius;
+its children are a net of half the radius (no two centres are closer than that) over those points, found farthest first,
+and each child keeps the true greatest distance to its points. Blocks of cells that meet are one task for each two. There
+the dual traversal starts at the two roots and drops a pair of nodes when d(centres) - radius - radius exceeds the distance,
+counts it whole when d(centres) + radius + radius is within it, and otherwise opens both. A leaf counts as its points, nodes
+of radius 0: those of all leaves that a node opens to are measured together in single precision, and what may be near
+enough exactly, in double precision.
 
 ``linked`` returns a row for each vector with a direction: vec_id, class_id (the least id that it is linked to, directly
 or through others) and n_links, the other vectors of at least the threshold's similarity. ``near_pairs`` returns the pairs
-of classes. Where vectors have no structure, balls overlap and each vector visits most cells: the work is then quadratic, as
-exact results ask.
+of classes. Where vectors have no structure, balls overlap and most cells meet: the work, and with it the shuffle of trees, is
+then quadratic, n / BLOCK_BYTES trees going to as many tasks each, as exact results ask.
 
 Edge cases: null vectors, vectors of no element or with a null, NaN or infinite element, and zero vectors have no
 direction, no link and no row; rows without an id are left out; rows that repeat an id are one vector: with different
@@ -30,6 +30,7 @@ all count; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ from lodestone.llm.common import components, narrow, written
 #: Cosine similarity from which two vectors are near duplicates.
 THRESHOLD = 0.95
 #: Bytes of vectors in a block, about.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of centres, at most: they reach the driver and every task. Beyond them cells grow, and are dealt into blocks.
 NET_BYTES = 32_000_000
 #: Points of a leaf, at most, unless they coincide.
@@ -51,6 +52,8 @@ LEAF = 24
 _AT_ONCE = 1 << 21
 #: What distances from scalar products in double precision may be off, with room to spare.
 _SLACK = 1e-6
+#: The same in single precision.
+_ROUGH = 1e-4
 
 
 class CoverTree:
@@ -110,11 +113,13 @@ class _Side:
 
 
 def dual(s: CoverTree, t: CoverTree, threshold: float, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Yields (rows of s, rows of t, their scalar products): the pairs of at least the threshold are among each yield's, and each
-    pair comes once; if s is t, as either (i, j) or (j, i), and no row with itself. whole: yields None for the products where
-    all rows given are that near to each other (if s is t and both are the same rows, any two of them)."""
+    """Yields (rows of s, rows of t, their scalar products), one of each for a pair of at least the threshold; each pair comes
+    once, and if s is t as either (i, j) or (j, i), and no row with itself. whole: where all of some rows are near enough to all
+    of others, yields both and None instead (if s is t and both are the same rows, any two of them)."""
     far = math.sqrt(max(0.0, 2 - 2 * threshold))
     reach, sure = far + _SLACK, far - 3 * _SLACK
+    exact = max(1, _AT_ONCE // s.x.shape[1])
+    x32, y32 = s.x.astype(np.float32), t.x.astype(np.float32)
     stack: list[tuple[int, np.ndarray | None, int, np.ndarray | None]] = [(0, None, 0, None)]
     while stack:
         p, a, q, b = stack.pop()
@@ -127,10 +132,16 @@ def dual(s: CoverTree, t: CoverTree, threshold: float, whole: bool = False) -> I
         left, right = _Side(s, p, a), _Side(t, q, b)
         step = max(1, _AT_ONCE // max(1, len(right.points)))
         for k in range(0, len(left.points), step):
-            dot = s.x[left.points[k : k + step]] @ t.x[right.points].T
+            u, v = np.nonzero(x32[left.points[k : k + step]] @ y32[right.points].T >= threshold - _ROUGH)
             if mirrored:
-                dot[np.arange(len(dot))[:, None] + k >= np.arange(len(right.points))[None, :]] = -2
-            yield left.points[k : k + step], right.points, dot
+                u, v = u[u + k < v], v[u + k < v]
+            u, v = left.points[k + u], right.points[v]
+            for c in range(0, len(u), exact):
+                i, j = u[c : c + exact], v[c : c + exact]
+                dot = np.einsum("ij,ij->i", s.x[i], t.x[j])
+                near = dot >= threshold - 1e-12
+                if near.any():
+                    yield i[near], j[near], dot[near]
         if len(left.inner) and len(right.inner):
             u, v = np.nonzero(_distances(left.centres @ right.centres.T) - left.r[:, None] - right.r[None, :] <= reach)
             for i, j in zip(left.inner[u].tolist(), right.inner[v].tolist()):
@@ -152,22 +163,17 @@ class _Links:
     def __init__(self, rep: np.ndarray, n: np.ndarray) -> None:
         self.n, self.count, self.label = n, np.zeros(len(n), np.int64), rep.copy()
 
-    def add(self, i: np.ndarray, j: np.ndarray, hits: np.ndarray | None) -> None:
-        """i, j: rows; hits: which of each pair are linked, None if all are (of equal i and j, any two)."""
-        if hits is None:
-            inside = len(i) == len(j) and np.array_equal(i, j)
-            self.count[i] += self.n[j].sum() - (self.n[i] if inside else 0)
-            if not inside:
-                self.count[j] += self.n[i].sum()
-            self._join(np.append(i[1:], j), np.broadcast_to(i[:1], len(i) - 1 + len(j)))
+    def add(self, i: np.ndarray, j: np.ndarray, all_: bool) -> None:
+        """Links of each i with its j, or, if all_, of all i with all j (of equal i and j, any two)."""
+        if not all_:
+            self.count += np.bincount(i, self.n[j], len(self.n)).astype(np.int64) + np.bincount(j, self.n[i], len(self.n)).astype(np.int64)
+            self._join(i, j)
             return
-        if not hits.any():
-            return
-        number = hits.astype(np.float64)
-        self.count[i] += np.rint(number @ self.n[j]).astype(np.int64)
-        self.count[j] += np.rint(self.n[i] @ number).astype(np.int64)
-        u, v = np.nonzero(hits)
-        self._join(i[u], j[v])
+        inside = len(i) == len(j) and np.array_equal(i, j)
+        self.count[i] += self.n[j].sum() - (self.n[i] if inside else 0)
+        if not inside:
+            self.count[j] += self.n[i].sum()
+        self._join(np.append(i[1:], j), np.broadcast_to(i[:1], len(i) - 1 + len(j)))
 
     def _join(self, i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -192,12 +198,11 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
 
 
 class Cells:
-    """Centres by width, with the true radius and the blocks of each cell."""
+    """Centres by width, with the true radius of each cell."""
 
     def __init__(self, centres: dict[int, np.ndarray]) -> None:
         self.centres = centres
         self.radius: dict[tuple[int, int], float] = {}
-        self.blocks: dict[tuple[int, int], int] = {}
 
     def distances(self, x: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
         c = self.centres[x.shape[1]]
@@ -205,16 +210,14 @@ class Cells:
         for a in range(0, len(x), step):
             yield slice(a, a + step), _distances(x[a : a + step] @ c.T)
 
-    def visits(self, x: np.ndarray, cell: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Row and cell of each visit: lesser cells than its own whose ball comes within reach."""
-        w = x.shape[1]
-        radius = np.array([self.radius.get((w, k), -9.0) for k in range(len(self.centres[w]))])
-        rows, cells = [], []
-        for at, d in self.distances(x):
-            u, v = np.nonzero((d - radius[None, :] <= reach) & (np.arange(len(radius))[None, :] < cell[at][:, None]))
-            rows.append(u + at.start)
-            cells.append(v)
-        return np.concatenate(rows), np.concatenate(cells)
+    def meets(self, w: int, cells: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each of the given cells, and the equal or greater cells whose balls come within reach of its own."""
+        radius = np.array([self.radius.get((w, k), -9.0) for k in range(len(self.centres[w]))])  # an empty cell meets none
+        found = [np.zeros((2, 0), np.int64)]
+        for at, d in self.distances(self.centres[w][cells]):
+            u, v = np.nonzero((d - radius[cells[at]][:, None] - radius[None, :] <= reach) & (np.arange(len(radius))[None, :] >= cells[at][:, None]))
+            found.append(np.stack([cells[at][u], v]))
+        return tuple(np.concatenate(found, axis=1))
 
 
 def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -250,12 +253,13 @@ def _cells(classes: DataFrame, block_bytes: int) -> Cells:
 
 
 _ASSIGNED = "rep long, h1 long, n long, w int, x array<double>, cell int, d double"
-_SENT = "w int, cell int, p int, q int, block int, guest boolean, rep long, h1 long, n long, x binary"
+_TASK = ("w", "p", "a", "q", "b")
 
 
 def _tasks(classes: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
-    """A row for each task that a class takes part in."""
+    """A row for each tree that a task needs: w, cells p <= q and their blocks a and b, and own, block and tree."""
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
+    spark = classes.sparkSession
     cells = _cells(classes, block_bytes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,59 +270,53 @@ def _tasks(classes: DataFrame, threshold: float, block_bytes: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d)], [*part.schema.names, "cell", "d"])
 
     assigned = written(classes.select("rep", "h1", "n", "w", "x").mapInArrow(assign, _ASSIGNED), "vector-cells")
-    size: dict[tuple[int, int], int] = {}
+    sizes = []
     for r in assigned.groupBy("w", "cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect():  # a row for each centre at most
-        cells.radius[r["w"], r["cell"]], size[r["w"], r["cell"]] = r["r"] + _SLACK, r["n"]
+        cells.radius[r["w"], r["cell"]] = r["r"] + _SLACK
+        sizes.append((r["w"], r["cell"], max(1, math.ceil(r["n"] * r["w"] * 8 / block_bytes))))
+    blocks = spark.createDataFrame(sizes, "w int, cell int, blocks int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, part in _by_width(batch):
-                at, n = np.unique(cells.visits(_matrix(part.column("x"), w), part.column("cell").to_numpy(), reach)[1], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"w": pa.array([w] * len(at), pa.int32()), "cell": pa.array(at.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("rep", "ascending"), ("h1", "ascending")]).combine_chunks()
+        tree = CoverTree(_matrix(rows["x"].chunk(0), key[0].as_py()))
+        state = pickle.dumps((*(rows[c].to_numpy() for c in ("rep", "h1", "n")), tree.__dict__), 5)
+        return pa.table({"w": [key[0].as_py()], "own": [key[1].as_py()], "block": [key[2].as_py()], "tree": [state]}, schema=pa.schema({"w": pa.int32(), "own": pa.int32(), "block": pa.int32(), "tree": pa.binary()}))
 
-    for r in assigned.select("w", "x", "cell").mapInArrow(count, "w int, cell int, n long").groupBy("w", "cell").agg(F.sum("n").alias("n")).collect():
-        size[r["w"], r["cell"]] = size.get((r["w"], r["cell"]), 0) + r["n"]
-    cells.blocks = {k: max(1, math.ceil(n * k[0] * 8 / block_bytes / 2)) for k, n in size.items()}
+    dealt = assigned.drop("d").join(F.broadcast(blocks), ["w", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "h1"), "blocks").cast("int"))
+    trees = written(dealt.groupBy("w", "cell", "block").applyInArrow(build, "w int, own int, block int, tree binary"), "cover-trees")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, part in _by_width(batch):
-                x, own = _matrix(part.column("x"), w), part.column("cell").to_numpy()
-                guest_row, guest_cell = cells.visits(x, own, reach)
-                row, cell = np.concatenate([np.arange(len(x)), guest_row]), np.concatenate([own, guest_cell])
-                guest = np.arange(len(row)) >= len(x)
-                blocks = np.array([cells.blocks[w, k] for k in cell.tolist()], np.int64)
-                rep, h1, n = (part.column(c).to_numpy() for c in ("rep", "h1", "n"))
-                block = ((h1[row] ^ (rep[row] * 0x9E3779B1)) % blocks).astype(np.int64)
-                again = np.repeat(np.arange(len(row)), blocks)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                for a in range(0, len(again), max(1, _AT_ONCE // w)):
-                    k = again[a : a + max(1, _AT_ONCE // w)]
-                    o, r = other[a : a + len(k)], row[k]
-                    kinds = (np.full(len(k), w), cell[k], np.minimum(block[k], o), np.maximum(block[k], o), block[k])
-                    body = pa.Array.from_buffers(pa.binary(8 * w), len(k), [None, pa.py_buffer(np.ascontiguousarray(x[r]).tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in kinds), pa.array(guest[k]), pa.array(rep[r]), pa.array(h1[r]), pa.array(n[r]), body], ["w", "cell", "p", "q", "block", "guest", "rep", "h1", "n", "x"])
-
-    return assigned.drop("d").mapInArrow(send, _SENT)
+                p, q = cells.meets(w, part.column("cell").to_numpy().astype(np.int64), reach)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (np.full(len(p), w), p, q)], ["w", "p", "q"])
+
+    met = blocks.repartition(max(1, min(len(sizes), 10_000))).mapInArrow(meet, "w int, p int, q int")
+    for side, block in (("p", "a"), ("q", "b")):
+        met = met.join(F.broadcast(blocks.withColumnRenamed("cell", side)), ["w", side]).withColumn(block, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = met.where("p < q or a <= b")
+    want = written(met.select(*_TASK, F.col("p").alias("own"), F.col("a").alias("block")).union(met.select(*_TASK, "q", "b")).distinct(), "tree-tasks")
+    return trees.join(narrow(want, 60), ["w", "own", "block"])
 
 
 def _meetings(key: tuple, rows: pa.Table, threshold: float, whole: bool):  # noqa: ANN202
-    """rep, h1 and n of a task's rows, and an iterator of (rows, rows, products) as dual yields them."""
-    rows = rows.sort_by([("guest", "ascending"), ("rep", "ascending"), ("h1", "ascending")]).combine_chunks()
-    w, p, q = key[0].as_py(), key[2].as_py(), key[3].as_py()
-    block, guest = rows["block"].to_numpy(), rows["guest"].to_numpy(zero_copy_only=False)
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(len(block), w)
-    sides = {(b, g): np.flatnonzero((block == b) & (guest == g)) for b in {p, q} for g in (False, True)}
-    trees = {k: CoverTree(x[at]) for k, at in sides.items() if len(at)}
-    meet = {((p, False), (q, False)), ((p, False), (q, True)), ((p, True), (q, False))} if p != q else {((p, False), (p, False)), ((p, False), (p, True))}
+    """rep, h1 and n of a task's vectors, and an iterator of (rows, rows, products) as dual yields them."""
+    found, start = {}, 0
+    for own, block, blob in zip(rows["own"].to_pylist(), rows["block"].to_pylist(), rows["tree"]):
+        rep, h1, n, state = pickle.loads(blob.as_buffer())
+        tree = CoverTree.__new__(CoverTree)
+        tree.__dict__.update(state)
+        found[own, block] = (rep, h1, n), tree, start
+        start += len(rep)
+    _, p, a, q, b = (k.as_py() for k in key)
 
     def run():  # noqa: ANN202
-        for a, b in sorted(meet):
-            if a in trees and b in trees:
-                for i, j, dot in dual(trees[a], trees[b], threshold, whole):
-                    yield sides[a][i], sides[b][j], dot
+        if (p, a) in found and (q, b) in found:  # else a block that got no vector
+            (_, s, left), (_, t, right) = found[p, a], found[q, b]
+            for i, j, dot in dual(s, t, threshold, whole):
+                yield i + left, j + right, dot
 
-    return rows["rep"].to_numpy(), rows["h1"].to_numpy(), rows["n"].to_numpy(), run()
+    return *(np.concatenate([x[0][k] for x in found.values()]) for k in range(3)), run()
 
 
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -330,14 +328,13 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         rep, _, _, found = _meetings(key, rows, threshold, False)
         out = []
         for i, j, dot in found:
-            u, v = np.nonzero(dot >= threshold - 1e-12)
-            a, b = rep[i[u]], rep[j[v]]
+            a, b = rep[i], rep[j]
             keep = a != b
-            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.minimum(dot[u, v], 1.0)[keep]))
+            out.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], np.minimum(dot, 1.0)[keep]))
         a, b, c = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"id_a": a, "id_b": b, "cosine": c})
 
-    across = _tasks(classes, threshold, block_bytes).groupBy("w", "cell", "p", "q").applyInArrow(task, "id_a long, id_b long, cosine double")
+    across = _tasks(classes, threshold, block_bytes).groupBy(*_TASK).applyInArrow(task, "id_a long, id_b long, cosine double")
     within = members.join(narrow(reps.where("n > 1"), 50), ["h1", "h2"]).where("id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"))
     return across.unionByName(within).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
 
@@ -350,11 +347,11 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_
         rep, h1, n, found = _meetings(key, rows, threshold, True)
         links = _Links(rep, n)
         for i, j, dot in found:
-            links.add(i, j, None if dot is None else dot >= threshold - 1e-12)
+            links.add(i, j, dot is None)
         hit = np.flatnonzero(links.count)
         return pa.table({"rep": rep[hit], "h1": h1[hit], "links": links.count[hit], "root": links.label[hit]})
 
-    found = written(_tasks(classes, threshold, block_bytes).groupBy("w", "cell", "p", "q").applyInArrow(task, "rep long, h1 long, links long, root long"), "vector-links")
+    found = written(_tasks(classes, threshold, block_bytes).groupBy(*_TASK).applyInArrow(task, "rep long, h1 long, links long, root long"), "vector-links")
     counts = found.groupBy("rep", "h1").agg(F.sum("links").alias("links"))
     several = written(members.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "vector-several")
     mixed = members.join(narrow(several, 16), "id").join(reps, ["h1", "h2"]).select(F.col("id").alias("u"), F.col("rep").alias("v"))

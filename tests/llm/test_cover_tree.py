@@ -54,7 +54,7 @@ def test_links_are_exact(spark, threshold, spread, bytes_):
     assert {r["vec_id"]: (r["class_id"], r["n_links"]) for r in got} == groups(x, threshold) and len(got) == len(x)
 
 
-def test_far_cells_are_not_visited():
+def test_far_cells_do_not_meet():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
     x = np.repeat(centres, 50, axis=0) + rng.normal(size=(1000, 16)) * 0.02
@@ -62,7 +62,8 @@ def test_far_cells_are_not_visited():
     cells = C.Cells({16: c})
     own = np.repeat(np.arange(20), 50)
     cells.radius = {(16, k): float(np.linalg.norm(x[own == k] - c[k], axis=1).max()) for k in range(20)}
-    assert len(cells.visits(x, own, 0.32)[0]) == 0
+    p, q = cells.meets(16, np.arange(20), 0.32)
+    assert (p == q).all() and len(p) == 20
 
 
 def test_tree_covers():
