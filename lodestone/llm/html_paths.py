@@ -12,9 +12,13 @@ Pages are parsed where they are read, once to vote and once to extract; only vot
 are broadcast if they are small by count, else joined by host, whose pages may then be many for one host: that join is left
 to adaptive skew handling.
 
+A page is read in one pass: a start tag costs no walk up the tree, an end tag only closes what it ends, and paths are compared on
+the way down, so time grows with the length of a page whatever it holds.
+
 Edge cases: a null or empty page gives a row with a null text; a page without containers gives its whole text as path
 "page"; a null URL or one without a host is host ""; unclosed and crossed tags are mended as browsers do for paragraphs
-and lists; scripts, styles and comments are no text; several containers of the winning path are joined in page order;
+and lists; a tag without an end is text, and once a quoted attribute has no end, tags from there on end at the first >; scripts,
+styles and comments are no text, to the end of the page if they have no end; several containers of the winning path are joined in page order;
 pages that repeat vote each; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -30,7 +34,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import per_slice, small_enough, written
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*+")
+_TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_SKIPPED = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style", "noscript", "template", "svg", "textarea")}
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINER = frozenset("article body div main section td form center".split())
@@ -38,6 +44,7 @@ _BLOCK = _CONTAINER | frozenset("address aside blockquote dd details dl dt field
 _PARAGRAPH = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li dd dt".split())
 _INLINE = frozenset("b i em strong span font u small big s tt code".split())
 _NO_TEXT = frozenset(("head", "title"))
+_OUTSIDE = frozenset(("nav", "footer", "header", "aside"))
 _GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 _BAD = re.compile(r"\bads?\b|banner|combx|comment|footer|foot|header|menu|meta|nav|related|remark|rss|share|sidebar|sponsor|promo|pager|popup|cookie", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -51,11 +58,22 @@ class Node:
     parent: Node | None
     parts: list[str | Node] = field(default_factory=list)
     score: float = 0.0
+    #: The nearest that isn't an inline element, itself or above; and the container that counts text in it, if any.
+    block: Node | None = None
+    container: Node | None = None
+
+    def __post_init__(self) -> None:
+        above = self.parent
+        self.block = self if self.tag not in _INLINE or above is None else above.block
+        self.container = self if self.tag in _CONTAINER else None if self.tag in _OUTSIDE or above is None else above.container
+
+    def name(self) -> str:
+        return self.tag + "".join(f".{c}" for c in self.classes.split())
 
     def path(self) -> str:
         names, node = [], self
         while node is not None and node.parent is not None:
-            names.append(node.tag + "".join(f".{c}" for c in node.classes.split()))
+            names.append(node.name())
             node = node.parent
         return "/".join(reversed(names))
 
@@ -68,34 +86,70 @@ def _general(attributes: str) -> str:
     return " ".join(sorted({c for c in names if c}))
 
 
+def _tokens(page: str):  # noqa: ANN202
+    """(start, end, name, attributes, whether it is an end tag) of each tag, comment or skipped element; name is "" of the latter two."""
+    at, quotes, close = 0, True, -1
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", False
+            at = end
+            continue
+        other, closing = page[at + 1 : at + 2] in ("!", "?"), page[at + 1 : at + 2] == "/"
+        m = None if other else _NAME.match(page, at + 1 + closing)
+        if not other and not m:
+            at += 1
+            continue
+        if close < at:  # the next > from here on
+            close = page.find(">", at)
+        if close < 0:
+            return
+        end, begins = close + 1, m.end() if m else at + 2
+        if m and quotes:
+            full = _TO_END.match(page, begins)
+            quotes = full is not None
+            end = full.end() if full else end
+        name = m[0].lower() if m else ""
+        if name in _SKIPPED and not closing:
+            stop = _SKIPPED[name].search(page, end)
+            end = stop.end() if stop else len(page)
+            yield at, end, "", "", False
+        else:
+            yield at, end, name, page[begins : end - 1], closing
+        at = end
+
+
 def parse(page: str) -> Node:
     root = Node("", "", None)
     node, at = root, 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    open_: dict[str, int] = {}  # how many of each tag are open
+    for start, end, tag, attributes, closing in _tokens(page):
+        if start > at:
+            node.parts.append(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[2]:  # an end tag: closes up to its start, if that is open
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
-            continue
-        if tag in _BLOCK:
-            up = node
-            while up is not root and up.tag in _INLINE:
-                up = up.parent
+        upto = None  # what ends here
+        if closing:
+            if open_.get(tag):
+                upto = node
+                while upto.tag != tag:
+                    upto = upto.parent
+        elif tag in _BLOCK:
+            up = node.block
             if up.tag == "p" or (tag == up.tag and tag in ("li", "dd", "dt", "td", "th", "tr")):
-                node = up.parent  # a block ends an open paragraph, an item the one before
-        child = Node(tag, _general(m[4]) if tag in _BLOCK else "", node)
+                upto = up  # a block ends an open paragraph, an item the one before
+        while upto is not None and node is not upto.parent:
+            open_[node.tag] -= 1
+            node = node.parent
+        if closing:
+            continue
+        child = Node(tag, _general(attributes) if tag in _BLOCK else "", node)
         node.parts.append(child)
-        if tag not in _VOID and not m[4].endswith("/"):
+        if tag not in _VOID and not attributes.endswith("/"):
             node = child
+            open_[tag] = open_.get(tag, 0) + 1
     if at < len(page):
         node.parts.append(page[at:])
     return root
@@ -161,14 +215,11 @@ def containers(root: Node) -> list[Node]:
         if not n:
             continue
         points = (n / 100 + commas) * (1 - linked / n)
-        up, share = (node if node.tag in _CONTAINER else node.parent), 1.0
+        up, share = (node if node.tag in _CONTAINER else node.parent).container, 1.0
         while up is not None and share > 0.1:
-            if up.tag in _CONTAINER:
-                found[up] = found.get(up, 0.0) + points * share
-                share /= 2
-            elif up.tag in ("nav", "footer", "header", "aside"):
-                break
-            up = up.parent
+            found[up] = found.get(up, 0.0) + points * share
+            share /= 2
+            up = up.parent.container
     out = []
     for node in _walk(root):
         if node in found:
@@ -191,18 +242,28 @@ def best(page: str) -> tuple[str, float] | None:
     return top.path(), top.score
 
 
+def _outermost(root: Node, path: str) -> list[Node]:
+    """The containers of that path, in page order, but those within another."""
+    hits, stack = [], [(root, 0)]  # nodes whose own path is the first so many characters
+    while stack:
+        node, upto = stack.pop()
+        if upto > len(path):
+            if node.tag in _CONTAINER:
+                hits.append(node)
+            continue
+        for child in reversed(node.parts):
+            if not isinstance(child, str) and path.startswith(name := child.name(), upto):
+                end = upto + len(name)
+                if end == len(path) or path[end] == "/":
+                    stack.append((child, end + 1))
+    return hits
+
+
 def extract(page: str, path: str | None) -> tuple[str, str, str]:
     """(path, used, text): by the given path, else by the page's own best container, else all text."""
     root = parse(page)
     if path is not None:
-        hits = []
-        for node in _walk(root):
-            if node.tag in _CONTAINER and node.path() == path:
-                up = node.parent
-                while up is not None and up not in hits:
-                    up = up.parent
-                if up is None:
-                    hits.append(node)
+        hits = _outermost(root, path)
         text = "\n".join(t for t in map(text_of, hits) if t)
         if text:
             return path, "consensus", text
