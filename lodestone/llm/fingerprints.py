@@ -235,17 +235,22 @@ def search(found: DataFrame, queries: DataFrame, least: float = MATCH) -> DataFr
     reps = members.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     second = members.join(narrow(reps.where("n > 1").select("d1", "d2", "rep"), 40), ["d1", "d2"]).where("doc_id > rep").groupBy("d1", "d2").agg(F.min("doc_id").alias("second"))
     reps = written(reps.join(second, ["d1", "d2"], "left"), "digest-reps")
-    one = with_id.join(narrow(reps.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), 50), ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"])
-    classes = written(one.select(F.col("doc_id").alias("rep"), "d1", "d2", "n", "digest", "features"), "digest-classes")
     asked = written(queries.select("doc_id").distinct().join(members, "doc_id"), "digest-asked")
-    asking = classes.join(narrow(asked.select("d1", "d2").distinct(), 24), ["d1", "d2"], "left_semi")
-    asking = written(asking.select(F.col("d1").alias("q1"), F.col("d2").alias("q2"), F.col("digest").alias("q_digest"), "features"), "digest-asking")
+    named = reps.select(F.col("rep").alias("doc_id"), "d1", "d2", "rep", "n")
+
+    def of(classes: DataFrame, *columns: str) -> DataFrame:
+        """Some columns of the given classes (d1, d2), from the least document of each."""
+        first = named.join(narrow(classes, 24), ["d1", "d2"], "left_semi")
+        return with_id.join(narrow(first, 50), ["doc_id", "d1", "d2"]).select("d1", "d2", *columns).dropDuplicates(["d1", "d2"])
+
+    asking = of(asked.select("d1", "d2").distinct(), "digest", "features")
+    asking = written(asking.toDF("q1", "q2", "q_digest", "features"), "digest-asking")
     wanted = asking.select("q1", "q2", F.explode("features").alias("f"))
-    held = classes.select("d1", "d2", F.explode("features").alias("f"))
+    held = with_id.select("d1", "d2", F.explode("features").alias("f"))
     pairs = held.join(narrow(wanted, 40), "f").where("d1 <> q1 or d2 <> q2").select("q1", "q2", "d1", "d2").distinct()
     pairs = written(pairs, "digest-pairs")
-    side = narrow(asking.drop("features"), 40 + 2 * BITS // 8)
-    sent = pairs.join(classes.select("d1", "d2", "rep", "n", "digest"), ["d1", "d2"]).join(side, ["q1", "q2"])
+    met = of(pairs.select("d1", "d2").distinct(), "rep", "n", "digest")
+    sent = pairs.join(met, ["d1", "d2"]).join(narrow(asking.drop("features"), 40 + 2 * BITS // 8), ["q1", "q2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
