@@ -2,22 +2,28 @@
 
 ``write_warc`` turns rows into WARC/1.1 files, one for each partition, each record a gzip member of its own. ``read_warc``
 streams such files (or plain, uncompressed ones) into rows of (record_id, chunk_no): the headers come with chunk 0, and
-each row carries the digest of the payload up to and with itself, so a reader can stop, resume or verify anywhere.
+each row carries the digest of the block up to and with itself, so a reader can stop, resume or verify anywhere.
 Memory is bounded by CHUNK_BYTES and the longest header, not by the records.
 
+``verified``, in a record's last row, tells whether all digests that its head gives agree: the block digest with all bytes, the
+payload digest with what follows the HTTP head where the block is an HTTP message (application/http), else with all bytes. A
+revisit's payload is in another record, so its payload digest is left alone. Null: there is no digest that can be told (sha1,
+sha256 or md5, in base 32 or hexadecimal).
+
 Files are opened through pyarrow's file systems, so a path may be any URI that these know (file, hdfs, s3, gs). One file
 is one task's work: WARC files are made to be about a gigabyte, and a gzip stream has no other place to start from. A
 writer puts its file in place by a rename when it is complete, under a name that its partition has in every attempt.
 
 Edge cases: a null or empty payload is one chunk of no bytes; a null URI leaves the header out and reads as null; a null id
-gives a record of its own id from file and place; a file cut short, a wrong length or a broken gzip member ends in an
-error that names file and offset, or, with on_error="mark", in a last row with ``error`` set; a payload digest that does not
-match is reported in ``verified``, not raised; repeated rows are records of their own; an empty table gives no file or
+and ids that repeat give records of ids of their own, which partition and place tell apart, so (record_id, chunk_no) is a key; a file cut short, a wrong length or a broken gzip member ends in an
+error that names file and offset, or, with on_error="mark", in a last row with ``error`` set; a digest that does not match is
+reported in ``verified``, not raised; repeated rows are records of their own; an empty table gives no file or
 empty ones; columns besides the three named ones are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import base64
 import hashlib
 import uuid
@@ -29,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import _remove, shared_dir
 
 CHUNK_BYTES = 65_536
 #: A header block may have so many bytes; longer ones are an error.
@@ -54,12 +60,46 @@ def record_head(record_id: str, uri: str | None, length: int, digest: str, kind:
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
     if uri is not None:
         lines.append("WARC-Target-URI: " + uri.replace("\r", " ").replace("\n", " "))
-    lines += ["Content-Type: text/html", f"WARC-Payload-Digest: {digest}", f"Content-Length: {length}"]
+    lines += ["Content-Type: text/html", f"WARC-Block-Digest: {digest}", f"WARC-Payload-Digest: {digest}", f"Content-Length: {length}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n"
 
 
 def record_id_of(key: object, part: int, place: int) -> str:
-    return "urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, f"id:{key}" if key is not None else f"place:{part}:{place}"))
+    """The same in each attempt of a task, and of one record alone."""
+    return "urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_OID, f"{part}:{place}:{key if key is not None else ''}"))
+
+
+class _Told:
+    """The digests that a record's head gives, followed as its block goes by."""
+
+    def __init__(self, headers: dict[str, str]) -> None:
+        kind, content = headers.get("warc-type"), headers.get("content-type", "").lower().replace(" ", "")
+        self.checks = []  # what is told, digest
+        for name in ("warc-block-digest", "warc-payload-digest"):
+            method, _, value = headers.get(name, "").partition(":")
+            if value and method.lower() in ("sha1", "sha256", "md5") and not (name == "warc-payload-digest" and kind == "revisit"):
+                self.checks.append((value.strip(), hashlib.new(method.lower()), name == "warc-payload-digest"))
+        #: Bytes of an HTTP head so far; None when what comes is payload.
+        self.head: bytes | None = b"" if content.startswith("application/http") and any(c[2] for c in self.checks) else None
+
+    def update(self, chunk: bytes) -> None:
+        payload = chunk
+        if self.head is not None:
+            self.head += chunk
+            end = self.head.find(b"\r\n\r\n")
+            payload = self.head[end + 4 :] if end >= 0 else b""
+            if end >= 0:
+                self.head = None
+            elif len(self.head) > HEADER_BYTES:  # no head that could be left out: what its payload is can't be told
+                self.checks, self.head = [c for c in self.checks if not c[2]], None
+        for _, digest, of_payload in self.checks:
+            digest.update(payload if of_payload else chunk)
+
+    def verified(self) -> bool | None:
+        """An HTTP message that ends within its head has an empty payload."""
+        if not self.checks:
+            return None
+        return all(value.upper() in (base64.b32encode(d.digest()).decode().rstrip("="), base64.b32encode(d.digest()).decode(), d.hexdigest().upper()) for value, d, _ in self.checks)
 
 
 def write_warc(rows: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -184,13 +224,14 @@ def records(stream, file: str, chunk_bytes: int = CHUNK_BYTES, on_error: str = "
             if left < 0:
                 raise ValueError("a negative length")
             row = {"file": file, "offset": offset, "record_id": headers.get("warc-record-id", "").strip("<>") or None, "record_type": headers.get("warc-type"), "target_uri": headers.get("warc-target-uri")}
-            told, digest, k, start = headers.get("warc-payload-digest"), hashlib.sha1(), 0, 0
+            told, digest, k, start = _Told(headers), hashlib.sha1(), 0, 0
             while True:
                 chunk = source.take(min(left, chunk_bytes))
                 left -= len(chunk)
                 digest.update(chunk)
+                told.update(chunk)
                 so_far = _sha1(digest)
-                yield row | {"headers": list(headers.items()) if k == 0 else None, "chunk_no": k, "start": start, "n_bytes": len(chunk), "chunk": chunk, "sha1_so_far": so_far, "is_last": not left, "verified": None if left or not (told or "").startswith("sha1:") else told == so_far, "error": None}
+                yield row | {"headers": list(headers.items()) if k == 0 else None, "chunk_no": k, "start": start, "n_bytes": len(chunk), "chunk": chunk, "sha1_so_far": so_far, "is_last": not left, "verified": None if left else told.verified(), "error": None}
                 k, start = k + 1, start + len(chunk)
                 if not left:
                     break
@@ -236,9 +277,11 @@ def uri(path: str) -> str:
 
 
 def round_trip(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """pages as WARC files in the shared folder, read again as the chunk table, without where they lay."""
+    """pages as WARC files in the shared folder, read again as the chunk table, without where they lay. The files go when the
+    session's process ends, as the table is read whenever its rows are asked for."""
     spark = pages.sparkSession
     folder = uri(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, folder)
     names = [r["file"] for r in write_warc(pages, folder).select("file").collect()]  # a name for each file
     files = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)), "path")
     return chunks_of(files, folder, chunk_bytes).drop("file", "offset")

@@ -1,5 +1,8 @@
+import base64
+import gzip
 import hashlib
 import io
+import random
 import zlib
 
 import pytest
@@ -69,9 +72,77 @@ def test_round_trip(spark, tmp_path):
     got = W.round_trip(df, 1000).collect()
     bodies = {}
     for r in sorted(got, key=lambda r: r["chunk_no"]):
-        bodies.setdefault((r["record_id"], r["target_uri"]), []).append(bytes(r["chunk"]))
+        bodies.setdefault(r["record_id"], []).append(bytes(r["chunk"]))
+    assert len({(r["record_id"], r["chunk_no"]) for r in got}) == len(got)
     assert sorted(b"".join(v).decode() for v in bodies.values()) == sorted(r[2] or "" for r in rows)
     assert sum(r["is_last"] for r in got) == len(rows) and all(r["verified"] for r in got if r["is_last"])
     assert W.round_trip(df.limit(0)).count() == 0
     W.write_warc(df, str(tmp_path / "w")).collect()
     assert W.read_warc(spark, str(tmp_path / "w")).where("is_last").count() == len(rows)
+
+
+def b32(method, data):
+    return method + ":" + base64.b32encode(hashlib.new(method, data).digest()).decode()
+
+
+def record(kind, content, block, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}-{len(block)}>", "WARC-Date": "2024-01-01T00:00:00Z", "Content-Type": content, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": str(len(block))}
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: " + b"h" * 3000 + b"\r\n\r\n"
+PAYLOAD = b"<html>" + b"payload \r\n\r\n" * 500 + b"</html>"
+CRAWL = [
+    (record("warcinfo", "application/warc-fields", b"software: x\r\n"), None),
+    (record("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", WARC_Payload_Digest=b32("sha1", b"")), True),
+    (record("response", "application/http; msgtype=response", HTTP + PAYLOAD, WARC_Payload_Digest=b32("sha1", PAYLOAD), WARC_Block_Digest=b32("sha1", HTTP + PAYLOAD)), True),
+    (record("response", "application/http;msgtype=response", HTTP + PAYLOAD + b"1", WARC_Payload_Digest="sha256:" + hashlib.sha256(PAYLOAD + b"1").hexdigest()), True),
+    (record("response", "application/http; msgtype=response", HTTP + PAYLOAD + b"22", WARC_Payload_Digest=b32("sha1", HTTP + PAYLOAD + b"22")), False),
+    (record("response", "application/http; msgtype=response", HTTP + PAYLOAD + b"333", WARC_Payload_Digest=b32("sha1", PAYLOAD + b"333"), WARC_Block_Digest=b32("sha1", b"other")), False),
+    (record("revisit", "application/http; msgtype=response", HTTP, WARC_Payload_Digest=b32("sha1", PAYLOAD), WARC_Block_Digest=b32("sha1", HTTP)), True),
+    (record("resource", "image/png", b"\x89PNG" * 99, WARC_Payload_Digest=b32("md5", b"\x89PNG" * 99)), True),
+    (record("conversion", "text/plain", b"text", WARC_Payload_Digest="crc32:1234"), None),
+]
+
+
+@pytest.mark.parametrize("chunk", [7, 1000, W.CHUNK_BYTES])
+def test_records_of_a_crawl(chunk):
+    rows = [r for r in W.records(io.BytesIO(b"".join(gzip.compress(r) for r, _ in CRAWL)), "f", chunk) if r["is_last"]]
+    assert [r["verified"] for r in rows] == [v for _, v in CRAWL]
+
+
+def slow_reader(data):
+    """All records of a file at once, by lengths alone."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    out, at = [], 0
+    while at < len(data):
+        end = data.index(b"\r\n\r\n", at)
+        head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
+        n = int(head["Content-Length"])
+        out.append((head["WARC-Record-ID"].strip("<>"), head, data[end + 4 : end + 4 + n]))
+        at = end + 4 + n + 4
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_reader_against_brute_force(seed):
+    rng = random.Random(seed)
+    blocks = [rng.randbytes(rng.choice([0, 1, 5, 999, 1000, 1001, 5000])) for _ in range(12)]
+    data = b"".join((gzip.compress if seed % 2 else bytes)(record("resource", "x", b, WARC_Place=str(k), WARC_Block_Digest=b32("sha1", b))) for k, b in enumerate(blocks))
+    got, heads = [], []
+    for r in W.records(io.BytesIO(data), "f", 1000):
+        if r["chunk_no"] == 0:
+            got.append((r["record_id"], b""))
+            heads.append({k.lower(): v for k, v in r["headers"]})
+        got[-1] = (got[-1][0], got[-1][1] + r["chunk"])
+    true = slow_reader(data)
+    assert got == [(i, b) for i, _, b in true] and heads == [{k.lower(): v for k, v in h.items()} for _, h, _ in true]
+
+
+def test_files_are_written_as_told(spark, tmp_path):
+    """Every byte of every payload, by a reader of another make."""
+    rows = [(k // 2, f"http://h/{k}", "p" * (k * 37_000)) for k in range(8)]
+    W.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w")).collect()
+    found = [x for f in sorted((tmp_path / "w").glob("*.warc.gz")) for x in slow_reader(f.read_bytes())]
+    assert sorted((h["WARC-Target-URI"], b.decode()) for _, h, b in found) == sorted((u, t) for _, u, t in rows)
+    assert len({i for i, _, _ in found}) == len(rows)
