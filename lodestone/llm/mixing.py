@@ -7,12 +7,13 @@ total not at all (while each document's own chance stays its fraction).
 
 Partitions round their own units in one pass and write the decided rows; at most one unit for each source and partition
 is left open. These residuals, small rows without texts, meet in a reduction tree: first within a source, ``FAN`` at a
-time, then across sources. Decisions are joined to the rows left open alone. Random numbers are hashes of seed, place
-and doc_id, and the table written in between fixes them: a lost executor changes nothing.
+time, then across sources. Decisions are joined to the rows left open alone. Random numbers are hashes of the seed, the partition and
+the place in it, so a task that runs again decides alike, and the table written in between fixes what it decided: a lost
+executor changes nothing. The same rows in other partitions give another sample of the same sizes.
 
 Edge cases: a null source is a source of its own; a source without a target weight gets no copies, and weights of sources
 that have no documents are spread over the others; repeated rows are documents of their own; null and empty texts are
-documents like others; all columns stay (working columns are named ``_mix_...``); an empty table gives an empty result;
+documents like others; all columns stay, whatever their names, as they are renamed while it works; an empty table gives an empty result;
 negative weights raise ValueError.
 """
 
@@ -69,10 +70,17 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None, seed: int = 1, smoothing: float = SMOOTHING) -> DataFrame:
     """docs, each row as often as it got copies."""
+    names = docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])  # no name of theirs meets one of ours
+    source = f"c{[n.lower() for n in names].index('source')}"
+    return _mixed(docs, source, weights, total, seed, smoothing).toDF(*names)
+
+
+def _mixed(docs: DataFrame, source: str, weights: dict[str | None, float] | None, total: int | None, seed: int, smoothing: float) -> DataFrame:
     columns = docs.columns
-    rate = written(rates(docs, weights, total, smoothing), "mix-rates")
+    rate = written(rates(docs.select(F.col(source).alias("source")), weights, total, smoothing), "mix-rates")
     rate = F.broadcast(rate) if small_enough(rate, 100) else rate
-    rated = docs.join(rate, docs["source"].eqNullSafe(rate["_mix_source"]))
+    rated = docs.join(rate, docs[source].eqNullSafe(rate["_mix_source"]))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,9 +165,7 @@ def _reduce(units: DataFrame, seed: int) -> DataFrame:
         for i in range(1, len(p)):
             p[k], p[i] = map(_close, duel(p[k], p[i], _uniform(seed, "tree", parts[i], ids[i], parts[k], ids[k])))
             if p[k] in (0, 1):
-                k = i
-            if p[k] in (0, 1) and i + 1 < len(p):
-                continue
+                k = i  # the other one stays open
         return pa.table({"_mix_part": pa.array(parts, pa.int32()), "_mix_source": rows["_mix_source"], "_mix_unit": pa.array(ids, pa.int64()), "_mix_p": pa.array([float(x) for x in p], pa.float64())})
 
     found = None
