@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Sequence
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What counts as space at either end of a text: Unicode white space, not the blank alone.
 _EDGES = r"(?U)^\s+|\s+$"
+#: One character that Python calls space.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 #: An instant with an offset or Z at its end.
 _OFFSET = r"([zZ]|[+-]\d{2}:?\d{2})\s*$"
@@ -21,6 +25,21 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), _EDGES, "")
 
 
+def python_strip(c: Column) -> Column:
+    """Without what Python calls space at either end."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def canonical_json(x: Any) -> str:
+    """One text for equal values: keys in order, no spaces, ASCII alone."""
+    return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def folded(c: Column) -> Column:
+    """Case aside, as Unicode folds it: what differs in case alone becomes equal."""
+    return F.replace(F.lower(F.replace(F.upper(c), F.lit("ẞ"), F.lit("SS"))), F.lit("ς"), F.lit("σ"))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(stripped(c) == "", None).otherwise(c)
 

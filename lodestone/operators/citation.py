@@ -1,17 +1,25 @@
-"""Anchors from a claim to the exact words that bear it: built once, resolved against later versions of a document."""
+"""Anchors from a claim to the exact words that bear it: built once, resolved against later versions of a document.
 
-from __future__ import annotations
+Places are counted in characters. A block has a text and, where its conversion kept them, places on pages (prov: page_no and
+bbox); only a block of one such place tells where a quote stands, so one of none or several is no ground for an anchor, and a
+quote found there later counts as found in the block alone. All of it are joins and expressions; only the places of a quote in a
+block that holds it are listed in Arrow batches."""
 
-import hashlib
-from typing import Any
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.functions.semantics import python_strip
 
 CONTEXT = 32
+_ALNUM = r"[\p{L}\p{N}]"
 
 
 def find_all(text: str, part: str) -> list[int]:
+    """All places, overlapping ones too."""
     out, k = [], text.find(part) if part else -1
     while k >= 0:
         out.append(k)
@@ -26,67 +34,103 @@ def aligned(text: str, start: int, end: int) -> bool:
     return not (left or right)
 
 
-def build(text: str, quote: str, context: int = CONTEXT) -> dict[str, Any]:
-    """The anchor, or error: blank_quote, not_found, ambiguous (overlapping finds count) or cuts_a_word."""
-    if not (quote or "").strip():
-        return {"error": "blank_quote"}
-    at = find_all(text or "", quote)
-    if len(at) != 1:
-        return {"error": "ambiguous" if at else "not_found"}
-    a, b = at[0], at[0] + len(quote)
-    if not aligned(text, a, b):
-        return {"error": "cuts_a_word"}
-    return {"char_start": a, "char_end": b, "prefix": text[max(0, a - context) : a], "suffix": text[b : b + context], "block_sha256": hashlib.sha256(text.encode()).hexdigest(), "error": None}
-
-
-_ANCHOR = "char_start int, char_end int, prefix string, suffix string, block_sha256 string, error string"
-
-
-def build_anchors(claims: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """claims (keys, quote) with the anchor in the block of the same keys (text); a claim without a block is not_found."""
-    make = F.udf(lambda t, q: (lambda a: tuple(a.get(k) for k in ("char_start", "char_end", "prefix", "suffix", "block_sha256", "error")))(build(t or "", q or "")), _ANCHOR)
-    return claims.join(blocks.select(*keys, "text"), keys, "left").withColumn("anchor", make("text", "quote")).drop("text")
-
-
-def resolve(record: dict[str, Any], blocks: list[dict[str, Any]]) -> dict[str, Any]:
-    """level: exact (same block, same place), relocated (one place elsewhere whose context agrees), ambiguous, block (the block
-    is there, the quote isn't), page (the page is), unresolved."""
-    quote = record["quote"]
-    own = [b for b in blocks if b["block_id"] == record["block_id"]]
-    for b in own:
-        a = record["char_start"]
-        if b["text"][a : a + len(quote)] == quote and hashlib.sha256(b["text"].encode()).hexdigest() == record["block_sha256"]:
-            return {"level": "exact", "block_id": b["block_id"], "char_start": a}
-    agree = lambda t, a: t[:a].endswith(record["prefix"]) and t[a + len(quote) :].startswith(record["suffix"])
-    places = [(b["block_id"], a) for b in blocks for a in find_all(b["text"] or "", quote)]
-    near = [(i, a) for i, a in places if agree(next(b["text"] for b in blocks if b["block_id"] == i), a)]
-    for found in (near, places):
-        if len(found) == 1:
-            return {"level": "relocated", "block_id": found[0][0], "char_start": found[0][1]}
-        if found:
-            return {"level": "ambiguous", "block_id": None, "char_start": None}
-    level = "block" if own else "page" if any(b["page_no"] == record["page_no"] for b in blocks) else "unresolved"
-    return {"level": level, "block_id": own[0]["block_id"] if own else None, "char_start": None}
+def _cuts(text: Column, quote: Column, start: Column) -> Column:
+    """Whether a quote at a place (from 0) begins or ends within a word."""
+    at = lambda c, k: F.coalesce(F.substring(c, k, F.lit(1)).rlike(_ALNUM), F.lit(False))
+    end = start + F.length(quote)
+    left = (start > 0) & at(text, start) & at(quote, F.lit(1))
+    right = (end < F.length(text)) & at(text, end + 1) & at(quote, F.length(quote))
+    return left | right
 
 
-def resolve_anchors(records: DataFrame, blocks: DataFrame) -> DataFrame:
-    """records (record_id, doc_id, block_id, page_no, quote, char_start, prefix, suffix, block_sha256) against blocks (doc_id,
-    block_id, page_no, text): record_id, level, block_id, char_start. One group for each document."""
-    import pandas as pd
+def _n_prov(blocks: DataFrame) -> Column:
+    return F.coalesce(F.size("prov"), F.lit(0)) if "prov" in blocks.columns else F.lit(1)
+
+
+def _placed(blocks: DataFrame) -> DataFrame:
+    """blocks with n_prov, and page_no and bbox where there is one place; without a column prov, page_no as it is."""
+    if "prov" in blocks.columns:
+        one = F.when(F.size("prov") == 1, F.element_at("prov", 1))
+        return blocks.withColumns({"n_prov": _n_prov(blocks), "page_no": one["page_no"], "bbox": F.to_json(one["bbox"])})
+    page = F.col("page_no") if "page_no" in blocks.columns else F.lit(None).cast("int")
+    return blocks.withColumns({"n_prov": F.lit(1), "page_no": page, "bbox": F.lit(None).cast("string")})
 
-    def run(recs: pd.DataFrame, blks: pd.DataFrame) -> pd.DataFrame:
-        listed = blks.to_dict("records")
-        rows = [{"record_id": r["record_id"]} | resolve(r, listed) for r in recs.to_dict("records")]
-        out = pd.DataFrame(rows, columns=["record_id", "level", "block_id", "char_start"])
-        return out.astype({"char_start": "Int64"})
 
-    return records.groupBy("doc_id").cogroup(blocks.groupBy("doc_id")).applyInPandas(run, "record_id string, level string, block_id string, char_start long")
+def build_anchors(claims: DataFrame, blocks: DataFrame, keys: list[str], context: int = CONTEXT) -> DataFrame:
+    """claims (keys, quote, ...) with the anchor in the block of the same keys: char_start, char_end, prefix, suffix, text_hash (of
+    the quote), page_no, bbox and error: blank_quote, not_single_prov, not_found (also without a block), ambiguous (overlapping
+    places count) or cuts_a_word. With an error all else is null."""
+    of = _placed(blocks).select(*keys, F.col("text").alias("_text"), F.col("n_prov").alias("_n"), F.col("page_no").alias("_page"), F.col("bbox").alias("_bbox"))
+    rows = claims.join(of, keys, "left")
+    text, quote = F.coalesce("_text", F.lit("")), F.coalesce("quote", F.lit(""))
+    first = F.expr("locate(coalesce(quote, ''), coalesce(_text, ''))")  # from 1, 0 if nowhere
+    again = F.expr("locate(coalesce(quote, ''), coalesce(_text, ''), locate(coalesce(quote, ''), coalesce(_text, '')) + 1)")
+    start = (first - 1).cast("int")
+    error = F.when(python_strip(quote) == "", "blank_quote").when(F.col("_n").isNotNull() & (F.col("_n") != 1), "not_single_prov").when(first == 0, "not_found").when(again > 0, "ambiguous").when(_cuts(text, quote, start), "cuts_a_word")
+    rows = rows.withColumns({"_error": error, "_start": start})
+    end = F.col("_start") + F.length(quote)
+    fields = {
+        "char_start": F.col("_start"), "char_end": end.cast("int"), "prefix": F.expr(f"substring(_text, greatest(1, _start + 1 - {context}), least(_start, {context}))"), "suffix": F.expr(f"substring(_text, _start + length(quote) + 1, {context})"),
+        "text_hash": F.sha2("quote", 256), "page_no": F.col("_page"), "bbox": F.col("_bbox"),
+    }
+    anchor = F.struct(*[F.when(F.col("_error").isNull(), v).alias(k) for k, v in fields.items()], F.col("_error").alias("error"))
+    return rows.withColumn("anchor", anchor).drop("_text", "_n", "_page", "_bbox", "_error", "_start")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _places(text: pd.Series, quote: pd.Series, prefix: pd.Series, suffix: pd.Series) -> pd.Series:
+    def of(t: str, q: str, before: str, after: str) -> list[int]:
+        return [k for k in find_all(t, q) if aligned(t, k, k + len(q)) and t[:k].endswith(before or "") and t[k + len(q) :].startswith(after or "")]
+
+    return pd.Series([of(*x) for x in zip(text, quote, prefix, suffix)])
+
+
+def resolve_anchors(records: DataFrame, blocks: DataFrame) -> DataFrame:
+    """records (record_id, doc_id, block_id, page_no, quote, char_start, char_end, prefix, suffix, text_hash) against blocks (doc_id,
+    block_id, text, and prov or page_no): record_id, level, page_no, block_id, char_start, char_end, bbox, n_matches.
+
+    level: exact (the block still has the quote at its place), relocated (one place in the document where the quote stands whole
+    between its old neighbours), ambiguous (several), block (the quote is found in a block of no one place on a page, or the
+    block is there and on its page), page (the page is there), unresolved."""
+    b = _placed(blocks).select("doc_id", F.col("block_id").alias("b_id"), F.col("text").alias("b_text"), F.col("n_prov").alias("b_n"), F.col("page_no").alias("b_page"), F.col("bbox").alias("b_bbox"))
+    r = records.select("record_id", "doc_id", "block_id", "page_no", "quote", "char_start", "char_end", "prefix", "suffix", "text_hash")
+    own = r.join(b, (r["doc_id"] == b["doc_id"]) & (r["block_id"] == b["b_id"]), "left").drop(b["doc_id"])
+    there = F.sha2(F.expr("substring(b_text, char_start + 1, char_end - char_start)"), 256) == F.col("text_hash")
+    own = own.select("record_id", F.coalesce(there, F.lit(False)).alias("same"), *[F.col(c).alias(f"own_{c[2:]}") for c in ("b_id", "b_n", "b_page", "b_bbox")])
+    met = r.join(b, (r["doc_id"] == b["doc_id"]) & F.expr("contains(b_text, quote)") & (F.sha2("quote", 256) == F.col("text_hash"))).where("quote <> ''")
+    hits = met.select("record_id", "b_id", "b_n", "b_page", "b_bbox", "quote", F.explode(_places("b_text", "quote", "prefix", "suffix")).alias("at"))
+    found = hits.groupBy("record_id").agg(F.count("*").alias("n"), F.min_by(F.struct("b_id", "b_n", "b_page", "b_bbox", "at", F.length("quote").alias("len")), F.struct("b_id", "at")).alias("hit"))
+    pages = _placed(blocks).where("page_no is not null").select("doc_id", "page_no").distinct() if "prov" not in blocks.columns else blocks.select("doc_id", F.explode("prov").alias("p")).select("doc_id", "p.page_no").distinct()
+    pages = pages.withColumn("has_page", F.lit(True))
+    rows = r.join(own, "record_id").join(found, "record_id", "left").join(pages, ["doc_id", "page_no"], "left")
+    exact = F.col("same") & (F.col("own_n") == 1)
+    own_only = F.col("same") & (F.col("own_n") != 1)
+    n = F.coalesce("n", F.lit(0))
+    moved = ~F.col("same") & (n == 1)
+    still = F.col("own_id").isNotNull() & (F.col("own_n") == 1) & (F.col("own_page").eqNullSafe(F.col("page_no")))
+    level = (
+        F.when(exact, "exact").when(own_only, "block").when(moved & (F.col("hit.b_n") == 1), "relocated").when(moved, "block").when(n > 1, "ambiguous").when(still, "block").when(F.col("has_page"), "page").otherwise("unresolved")
+    )
+    rows = rows.withColumn("level", level)
+    is_ = lambda *v: F.col("level").isin(*v)
+    in_own = F.col("same") | (is_("block") & ~moved)
+    return rows.select(
+        "record_id",
+        "level",
+        F.when(exact | (~F.col("same") & is_("block") & ~moved), F.col("own_page")).when(is_("relocated"), F.col("hit.b_page")).when(is_("page"), F.col("page_no")).alias("page_no"),
+        F.when(in_own, F.col("own_id")).when(moved, F.col("hit.b_id")).alias("block_id"),
+        F.when(exact, F.col("char_start")).when(is_("relocated"), F.col("hit.at")).cast("int").alias("char_start"),
+        F.when(exact, F.col("char_end")).when(is_("relocated"), F.col("hit.at") + F.col("hit.len")).cast("int").alias("char_end"),
+        F.when(exact | (~F.col("same") & is_("block") & ~moved), F.col("own_bbox")).when(is_("relocated"), F.col("hit.b_bbox")).alias("bbox"),
+        F.when(F.col("same"), F.lit(1)).otherwise(n).cast("int").alias("n_matches"),
+    )
 
 
 def clean(resolved: DataFrame) -> DataFrame:
+    """What may pass without a look: exact or relocated alone."""
     return resolved.where("level in ('exact', 'relocated')")
 
 
 def public(anchors: DataFrame) -> DataFrame:
-    """What may be published of anchors: no text around the quote."""
-    return anchors.withColumn("anchor", F.col("anchor").dropFields("prefix", "suffix"))
+    """What may be published of anchors: no text around the quote, and no place within the block."""
+    return anchors.withColumn("anchor", F.col("anchor").dropFields("prefix", "suffix", "char_start", "char_end"))

@@ -95,9 +95,9 @@ STATES = frozenset("AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME
 
 
 def state_of(c: Column) -> Column:
-    """The last two-letter token that is a state of the US."""
-    tokens = F.regexp_extract_all(c, F.lit(r"\b([A-Z]{2})\b"), F.lit(1))
-    return F.try_element_at(F.filter(tokens, lambda t: t.isin(sorted(STATES))), F.lit(-1))
+    """The last word of two letters, in any case, that is a state of the US; without one, SC where South Carolina is written out."""
+    tokens = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]{2,})"), F.lit(1)), F.upper)
+    return F.coalesce(F.try_element_at(F.filter(tokens, lambda t: t.isin(sorted(STATES))), F.lit(-1)), F.when(F.lower(c).contains("south carolina"), "SC"))
 
 
 def split_category(c: Column) -> tuple[Column, Column]:

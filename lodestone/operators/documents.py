@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.evidence import append
 
-SEVERITIES = {"incremental_save": "medium", "metadata": "low", "unapplied_redact": "high", "embedded_files": "medium", "acroform_values": "high", "annotation_text": "medium", "box_over_text": "high", "text_layer": "high"}
+SEVERITIES = {"incremental_save": "medium", "metadata": "low", "unapplied_redact": "high", "embedded_files": "medium", "acroform_values": "high", "annotation_text": "medium", "box_over_text": "high", "text_layer": "medium"}
 IMAGE_SHARE, IMAGE_CHARS = 0.5, 20
 _FINDING = "array<struct<check:string,severity:string,public:string,local:string>>"
 
@@ -56,10 +56,27 @@ def publishable(report: DataFrame) -> DataFrame:
     return report.withColumn("findings", F.transform(safe, lambda f: f.dropFields("local")))
 
 
-def flag_reason(failed: Column, diagnosis: Column, ocr: Column, score: Column, low: float = 0.5) -> Column:
-    """Why a converted page needs eyes: the first reason that holds, else null. Scores that are no numbers are unknown."""
-    known = F.when(~F.isnan(score), score)
-    return F.when(F.coalesce(failed, F.lit(False)), "conversion_failed").when(diagnosis == "garbled", "garbled").when(diagnosis == "image_only", F.when(F.coalesce(ocr, F.lit(False)), "ocr_text").otherwise("no_text")).when(diagnosis == "uncertain", "uncertain").when(known < low, "low_score")
+#: OCR scores below this are no ground to trust a page.
+DEGRADED = 0.85
+
+
+def flag_reason(diagnosis: Column, ocr_applied: Column, ocr_score: Column, review: Column | None = None, partial: Column | None = None, unavailable: Column | None = None) -> Column:
+    """Why a converted page needs eyes: the first reason that holds, else null.
+
+    review: its document is not to be trusted; partial: its conversion ended early; unavailable: preparation for OCR was asked
+    for and couldn't run. A page that OCR read is judged by its score, if that is a number; other pages' scores don't count."""
+    sure = lambda c: F.coalesce(c, F.lit(False)) if c is not None else F.lit(False)
+    read = sure(ocr_applied)
+    low = read & sure(~F.isnan(ocr_score) & (ocr_score < DEGRADED))
+    return (
+        F.when(sure(review), "review: document not trustworthy for unattended extraction")
+        .when(sure(partial), "partial conversion")
+        .when(diagnosis == "garbled_text", "garbled text layer")
+        .when(diagnosis == "uncertain_review", "uncertain: too little signal to trust the text layer")
+        .when((diagnosis == "image_only") & ~read, "image-only page not OCR'd")
+        .when(low, F.format_string("low OCR confidence (%.2f)", ocr_score))
+        .when(sure(unavailable), "preprocessing requested but unavailable")
+    )
 
 
 def trustworthy(pages: DataFrame, doc: str, reason: str = "flag_reason") -> DataFrame:
@@ -80,6 +97,7 @@ def archive(files: DataFrame, known: DataFrame, log: list[dict[str, Any]], *, no
     new = files.dropDuplicates(["sha256"]).join(known.select("sha256"), "sha256", "left_anti")
     late = F.col("modified") > F.lit(received).cast("timestamp") if received else F.lit(False)
     manifest = new.select("path", "sha256", "modified", late.alias("modified_after_receipt"), F.lit(now).alias("archived_at"), F.lit(actor).alias("actor"))
-    for r in manifest.select("sha256").orderBy("sha256").collect():  # a chain has one order and grows by one
-        log = append(log, "archived", now=now, artifact_sha256=r["sha256"], actor=actor)
+    log = list(log)
+    for r in manifest.select("sha256").orderBy("sha256").toLocalIterator():  # a chain has one order and grows by one
+        append(log, "archived", now=now, artifact_sha256=r["sha256"], actor=actor)
     return manifest, log

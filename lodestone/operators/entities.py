@@ -8,40 +8,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.semantics import stable_id
+from lodestone.functions.semantics import folded, python_strip, stable_id
 
 MAX_CHARS, OVERLAP = 1400, 200
+_PEOPLE, _BODIES = ("person", "government official"), ("organization", "government agency", "company")
 #: label: schema of its entities; labels not listed are LegalEntity.
 ENTITY_SCHEMAS: dict[str, str] = {
-    "person": "Person", "organization": "Organization", "company": "Company", "government agency": "PublicBody", "law enforcement agency": "PublicBody",
-    "court": "PublicBody", "vehicle": "Vehicle", "address": "Address", "location": "Address", "phone number": "Identification", "email": "Identification",
-    "license plate": "Vehicle", "bank account": "BankAccount", "vessel": "Vessel", "airplane": "Airplane", "document": "Document", "event": "Event", "asset": "Asset",
-}
-#: relation: (schema, labels of its head, labels of its tail)
-RELATIONS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
-    "employed by": ("Employment", ("person",), ("organization", "company", "government agency", "law enforcement agency")),
-    "director of": ("Directorship", ("person",), ("organization", "company")),
-    "owner of": ("Ownership", ("person", "organization", "company"), ("company", "asset", "vehicle", "vessel", "airplane")),
-    "member of": ("Membership", ("person",), ("organization",)),
-    "family of": ("Family", ("person",), ("person",)),
-    "associate of": ("Associate", ("person",), ("person",)),
-    "represents": ("Representation", ("person", "organization", "company"), ("person", "organization", "company")),
-    "paid": ("Payment", ("person", "organization", "company", "government agency"), ("person", "organization", "company", "government agency")),
-    "located at": ("Link", ("organization", "company", "event"), ("address", "location")),
+    label: schema
+    for schema, labels in {
+        "Person": "person, government official, attorney/legal counsel",
+        "Organization": "organization, government agency",
+        "Company": "company",
+        "Address": "address, jurisdiction",
+        "Vehicle": "vehicle",
+        "Thing": "product/system/technology, date, phone, email, monetary amount, case/docket number, permit/license/contract number, statute/regulation, position/title",
+    }.items()
+    for label in labels.split(", ")
 }
+#: Labels whose entities are nodes of the graph; the others describe what is around them.
+NODE_LABELS = tuple(k for k, v in ENTITY_SCHEMAS.items() if v != "Thing" or k.startswith("product"))
+#: relation: (schema, labels of its head, labels of its tail, role of the edge)
+RELATIONS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], str | None]] = {
+    "employed by": ("Employment", _PEOPLE, _BODIES, None),
+    "member of": ("Membership", _PEOPLE, _BODIES[:2], None),
+    "director/officer of": ("Directorship", _PEOPLE, _BODIES, None),
+    "owns/subsidiary of": ("Ownership", ("person", "company", "organization"), ("company",), None),
+    "represents/counsel for": ("Representation", ("person", "attorney/legal counsel", "company"), ("person", *_BODIES), None),
+    "family of": ("Family", ("person",), ("person",), None),
+    "associate of": ("Associate", ("person",), ("person",), None),
+    "party to contract/procurement": ("UnknownLink", _BODIES[:2], ("company", "organization"), "party to contract/procurement"),
+    "affiliated/linked": ("UnknownLink", NODE_LABELS, NODE_LABELS, None),
+}
+#: A preset with one relation more, for records of searches across agencies.
+SHARING: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], str | None]] = RELATIONS | {"shares data with": ("UnknownLink", ("government agency",), ("government agency",), "data-sharing")}
 
 
 def plan_windows(text: str | None, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(start, end) windows that cover the text: each ends at white space if there is any in its last ``overlap`` characters,
-    and the next begins ``overlap`` before, one character further on at least."""
+    """(start, end) windows that cover the text, none of a blank one: each but the last ends after the last blank or line end that
+    is at most ``overlap`` before its full length, if there is one, and the next begins ``overlap`` before that, one character further on at
+    least."""
     if max_chars <= 0 or overlap < 0 or overlap >= max_chars:
         raise ValueError("overlap must be less than max_chars")
     text, out, a = text or "", [], 0
-    while a < len(text):
+    while text.strip() and a < len(text):
         b = min(len(text), a + max_chars)
         if b < len(text):
-            back = next((k for k in range(b, max(a, b - overlap), -1) if text[k - 1].isspace()), None)
-            b = back if back else b
+            low = max(a + 1, b - overlap)
+            space = max(text.rfind(c, low - 1, b) for c in " \n\t\r")
+            b = space + 1 if space >= 0 else b
         out.append((a, b))
         if b >= len(text):
             break
@@ -71,7 +85,7 @@ def windows(df: DataFrame, text: str, *keep: str, max_chars: int = MAX_CHARS, ov
 
 
 def dedup_spans(spans: Sequence[dict]) -> list[dict]:
-    """Of equal spans the best score stays. Of overlapping ones of a label, taken in order of place, a longer (then better) one
+    """Of equal spans the best score stays. Of overlapping ones of a label, taken in the order given, a longer (then better) one
     takes the place of each it beats; one that beats some and loses to another falls, and so do those it beat."""
     best: dict[tuple, dict] = {}
     for s in spans:
@@ -79,7 +93,7 @@ def dedup_spans(spans: Sequence[dict]) -> list[dict]:
         if key not in best or s["score"] > best[key]["score"]:
             best[key] = s
     kept: list[dict] = []
-    for s in sorted(best.values(), key=lambda s: (s["label"], s["start"], -s["end"])):
+    for s in best.values():
         worth = (s["end"] - s["start"], s["score"])
         over = [k for k in kept if k["label"] == s["label"] and k["start"] < s["end"] and s["start"] < k["end"]]
         lost = [k for k in over if (k["end"] - k["start"], k["score"]) >= worth]
@@ -89,10 +103,11 @@ def dedup_spans(spans: Sequence[dict]) -> list[dict]:
     return sorted(kept, key=lambda s: (s["start"], s["end"], s["label"]))
 
 
-def dedup(spans: DataFrame, *by: str) -> DataFrame:
-    """spans: by..., label, start, end, score, text; one group for each page."""
+def dedup(spans: DataFrame, *by: str, order: Sequence[str] = ("start", "end", "label")) -> DataFrame:
+    """spans: by..., label, start, end, score, text; one group for each page, taken in that order, as rows have none."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, "score"], kind="stable")
         return pd.DataFrame(dedup_spans(rows.to_dict("records")), columns=rows.columns)
 
     return spans.groupBy(*by).applyInPandas(run, spans.schema)
@@ -100,33 +115,32 @@ def dedup(spans: DataFrame, *by: str) -> DataFrame:
 
 def _lookup(table: Mapping[str, str], key: Column, default: str) -> Column:
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(key)), F.lit(default))
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
 def nodes(spans: DataFrame, namespace: str) -> DataFrame:
-    """node_id, doc_id, schema, name, label: one for each name in a document, white space single, case aside."""
-    name = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    """node_id, doc_id, schema, name, label: one for each name in a document, without space at its ends, case aside."""
     schema = _lookup(ENTITY_SCHEMAS, F.col("label"), "LegalEntity")
-    rows = spans.select("doc_id", "label", schema.alias("schema"), name.alias("name")).withColumn("node_id", stable_id(namespace, F.col("doc_id"), F.col("schema"), F.lower("name")))
+    rows = spans.select("doc_id", "label", schema.alias("schema"), python_strip(F.col("text")).alias("name")).withColumn("node_id", stable_id(namespace, F.col("doc_id"), F.col("schema"), folded(F.col("name"))))
     return rows.groupBy("node_id", "doc_id", "schema").agg(F.min("name").alias("name"), F.min("label").alias("label"))
 
 
-def allowed_relations(spark: SparkSession) -> DataFrame:
-    rows = [(r, h, t, schema) for r, (schema, heads, tails) in RELATIONS.items() for h in heads for t in tails]
-    return spark.createDataFrame(rows, "relation string, head_label string, tail_label string, schema string")
+def allowed_relations(spark: SparkSession, relations: Mapping[str, tuple] = RELATIONS) -> DataFrame:
+    rows = [(r, h, t, schema, role) for r, (schema, heads, tails, role) in relations.items() for h in heads for t in tails]
+    return spark.createDataFrame(rows, "relation string, head_label string, tail_label string, schema string, role string")
 
 
-def edges(relations: DataFrame, namespace: str) -> DataFrame:
-    """edge_id, schema, head_id, tail_id, role. relations: relation, head_id, head_label, tail_id, tail_label, span_key.
+def edges(relations: DataFrame, namespace: str, known: Mapping[str, tuple] = RELATIONS) -> DataFrame:
+    """edge_id, schema, head_id, tail_id, role, label. relations: relation, head_id, head_label, tail_id, tail_label, span_key.
 
-    A known relation between labels that it doesn't allow falls; an unknown one, and an ownership of what can't be owned,
-    becomes an UnknownLink."""
-    table = F.broadcast(allowed_relations(relations.sparkSession))  # a constant of some fifty rows
-    known = F.lower("relation").isin(*RELATIONS)
-    joined = relations.withColumn("relation", F.lower("relation")).join(table, ["relation", "head_label", "tail_label"], "left")
-    schema = F.coalesce("schema", F.when(~known | (F.col("relation") == "owner of"), "UnknownLink"))
-    out = joined.withColumn("schema", schema).where("schema is not null and head_id <> tail_id")
-    return out.select(stable_id(namespace, F.col("schema"), F.col("head_id"), F.col("tail_id"), F.col("span_key")).alias("edge_id"), "schema", "head_id", "tail_id", F.col("relation").alias("role")).distinct()
+    A known relation between labels that it allows has its own schema and role; between others it falls. An unknown one, and an
+    ownership of what can't be owned, becomes an UnknownLink whose role is the relation."""
+    table = F.broadcast(allowed_relations(relations.sparkSession, known))  # a constant of some hundred rows
+    owning = [k for k, v in known.items() if v[0] == "Ownership"]
+    joined = relations.join(table, ["relation", "head_label", "tail_label"], "left")
+    loose = F.col("schema").isNull() & (~F.col("relation").isin(*known) | F.col("relation").isin(*owning))
+    out = joined.withColumns({"role": F.when(loose, F.col("relation")).otherwise(F.col("role")), "schema": F.coalesce("schema", F.when(loose, "UnknownLink"))}).where("schema is not null")
+    return out.select(stable_id(namespace, F.col("schema"), F.col("head_id"), F.col("tail_id"), F.col("span_key")).alias("edge_id"), "schema", "head_id", "tail_id", "role", F.col("relation").alias("label")).distinct()
 
 
 def statements(mentions: DataFrame, namespace: str) -> DataFrame:

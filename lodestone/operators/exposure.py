@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.pii import BROAD_ONLY, PATTERNS, PLACEHOLDERS, REDACTION_EXEMPT, hits
 from lodestone.functions.semantics import stripped
 
-TITLES = frozenset("officer ofc ofcr deputy dep det detective sgt sergeant lt lieutenant cpl corporal capt captain chief sheriff trooper agent inv investigator ptl patrolman major commander".split())
+#: Words before a name that make it an official's.
+TITLES = frozenset("agent capt captain chief cmdr col colonel commander corporal cpl cpt dep deputy det detective investigator lieutenant lt major marshal ofc ofcr officer patrolman sergeant sgt sheriff trooper".split())
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -39,27 +40,44 @@ def flagged(texts: DataFrame, patterns: Mapping[str, str] = PATTERNS, person: Ma
     return out.withColumns({"strict": any_of(strict), "broad": any_of([*strict, *weak]), "redactable": any_of([k for k in patterns if k not in REDACTION_EXEMPT])})
 
 
+def _tallied(df: DataFrame, column: str, patterns: Mapping[str, str]) -> DataFrame:
+    """The flags of each distinct text, and n, its rows. Texts are judged where they are read; what is shuffled is a digest."""
+    rows = flagged(df.select(stripped(F.col(column)).alias("text")).where("text <> ''"), patterns)
+    names = [*patterns, "strict", "broad"]
+    slim = rows.select(F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(7), "text").alias("_h2"), *names)
+    return slim.groupBy("_h1", "_h2").agg(F.count("*").alias("n"), *[F.bool_or(k).alias(k) for k in names])
+
+
 def sweep(df: DataFrame, column: str, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
-    """category, weighted (rows), distinct (texts): patterns, strict, broad, and the totals rows, nonblank and texts."""
-    f = flagged(distinct_texts(df, column), patterns)
+    """category, weighted (rows), distinct (texts): patterns, strict, broad, and nonblank for all."""
+    f = _tallied(df, column, patterns)
     names = [*patterns, "strict", "broad"]
     pairs = F.array(*[F.struct(F.lit(k).alias("category"), F.sum(F.when(F.col(k), F.col("n")).otherwise(0)).alias("weighted"), F.count_if(F.col(k)).alias("distinct_texts")) for k in names], F.struct(F.lit("nonblank").alias("category"), F.sum("n").alias("weighted"), F.count("*").alias("distinct_texts")))
     return f.agg(pairs.alias("p")).select(F.explode("p").alias("p")).select("p.category", F.coalesce("p.weighted", F.lit(0)).cast("bigint").alias("weighted"), "p.distinct_texts")
 
 
 def exposed_groups(df: DataFrame, column: str, group: str, level: str = "strict") -> DataFrame:
-    """Rows of exposed texts by group: a semi join of the table with its flagged distinct texts."""
-    bad = flagged(distinct_texts(df, column)).where(level).select("text")
-    rows = df.withColumn("text_", stripped(F.col(column)))
-    return rows.join(bad, rows["text_"] == bad["text"], "left_semi").groupBy(group).agg(F.count("*").alias("n_exposed"))
+    """Rows of exposed texts by group. Texts are judged where they are read and are not shuffled."""
+    rows = df.select(F.col(group).alias("_group"), stripped(F.col(column)).alias("text")).where("text <> ''")
+    return flagged(rows).where(level).groupBy(F.col("_group").alias(group)).agg(F.count("*").alias("n_exposed"))
+
+
+def name_tokens(text: str) -> frozenset[str]:
+    """Words of a name, in lower case and without the signs around them; what has no letter is none."""
+    words = (w.strip(".,'\"-#/()") for w in text.lower().split())
+    return frozenset(w for w in words if any(ch.isalpha() for ch in w))
 
 
-def role_of(text: str, start: int, end: int, officials: Iterable[frozenset[str]] = ()) -> str:
-    """official (by roster, or by a title within two tokens before), else involved."""
-    name = frozenset(re.findall(r"[^\W\d_]+", text[start:end].lower()))
+def role_of(text: str, start: int, end: int, officials: Iterable[frozenset[str]] = (), involved: Iterable[frozenset[str]] = (), titles: Iterable[str] = TITLES) -> str:
+    """official (on that roster, or with a title within two words before), involved (on that roster) or uninvolved. Rosters hold
+    names as sets of words, as name_tokens makes them; a name is on it if all words of one of them are in the span."""
+    name = name_tokens(text[start:end])
     if any(o and o <= name for o in officials):
         return "official"
-    return "official" if TITLES & set(re.findall(r"[^\W\d_]+", text[:start].lower())[-2:]) else "involved"
+    before = {w.strip(".").lower() for w in text[:start].split()[-2:]}
+    if before & {t.lower() for t in titles}:
+        return "official"
+    return "involved" if any(o and o <= name for o in involved) else "uninvolved"
 
 
 def initials(name: str) -> str:
@@ -120,13 +138,23 @@ def local_exhibit(df: DataFrame, column: str) -> DataFrame:
     return f.where("broad").select(text_id(F.col("text")).alias("text_id"), "text", "n", F.array_join(names, ";").alias("categories"))
 
 
-def write_exhibit(exhibit: DataFrame, folder: str, vaults: Sequence[str] = ()) -> None:
-    """CSV; refuses a folder at or under any vault."""
+def _place(path: str) -> tuple[str, str]:
+    """File system and absolute path of a folder, links and .. resolved where it is a local one."""
+    import posixpath
     from pathlib import Path
+    from urllib.parse import unquote, urlsplit
+
+    parts = urlsplit(path)
+    if len(parts.scheme) > 1 and parts.scheme != "file":
+        return f"{parts.scheme}://{parts.netloc}".lower(), posixpath.normpath("/" + unquote(parts.path))
+    return "file", str(Path(unquote(parts.path) if parts.scheme == "file" else path).resolve())
 
-    if "://" not in folder:
-        real = Path(folder).resolve()
-        for v in vaults:
-            if real == Path(v).resolve() or Path(v).resolve() in real.parents:
-                raise PermissionError(f"{folder} is within {v}")
+
+def write_exhibit(exhibit: DataFrame, folder: str, vaults: Sequence[str] = ()) -> None:
+    """CSV; refuses a folder at or under any vault, whether they are given as paths or as URIs."""
+    system, real = _place(folder)
+    for v in vaults:
+        where, root = _place(v)
+        if where == system and (real == root or real.startswith(root.rstrip("/") + "/")):
+            raise PermissionError(f"{folder} is within {v}")
     exhibit.write.mode("overwrite").option("header", True).csv(folder)

@@ -83,15 +83,17 @@ def review_band(pairs: DataFrame) -> DataFrame:
 
 def auto_merges(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """What was merged without a person: root, member_ids, n_pairs, least_score, by root."""
-    merged = pairs.where(bucket(F.col("score")) == "auto_merge").join(clusters.withColumnRenamed("id", "left_id"), "left_id")
+    merged = pairs.where(bucket(F.col("score")) == "auto").join(clusters.withColumnRenamed("id", "left_id"), "left_id")
     return merged.groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("left_id", "right_id"))))).alias("member_ids"), F.count("*").alias("n_pairs"), F.min("score").alias("least_score")).orderBy("root")
 
 
 def corpus_rows(resolved: DataFrame) -> DataFrame:
-    """id, schema, caption, properties (name: caption and aliases, each once); a missing id, schema or name raises."""
+    """id, schema, caption, properties (those of the entity; name: caption and aliases, each once); a missing id, schema or name
+    raises."""
     names = F.array_distinct(F.array_compact(F.concat(F.array("caption"), F.coalesce("aliases", F.expr("cast(array() as array<string>)")))))
+    own = F.coalesce(F.col("properties") if "properties" in resolved.columns else F.lit(None), F.expr("cast(map() as map<string,array<string>>)"))
     need = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"an entity has no {c}")).cast("string"))
-    return resolved.select(need("canonical_id").alias("id"), need("schema").alias("schema"), need("caption").alias("caption"), F.create_map(F.lit("name"), names).alias("properties"))
+    return resolved.select(need("canonical_id").alias("id"), need("schema").alias("schema"), need("caption").alias("caption"), F.map_concat(F.map_filter(own, lambda k, _: k != "name"), F.create_map(F.lit("name"), names)).alias("properties"))
 
 
 def write_corpus(resolved: DataFrame, folder: str, name: str) -> dict[str, Any]:
@@ -110,7 +112,9 @@ def write_corpus(resolved: DataFrame, folder: str, name: str) -> dict[str, Any]:
 
 
 def match_queries(resolved: DataFrame) -> DataFrame:
-    """id, schema and the properties that a match may use; without a name, caption and aliases stand for it."""
+    """id, schema and the properties that a match may use; without a name, caption and aliases stand for it. resolved: as snapshot
+    gives it."""
+    resolved = resolved.withColumn("id", F.col("canonical_id")) if "id" not in resolved.columns else resolved
     props = F.map_filter(F.col("properties"), lambda k, _: k.isin(*MATCH_PROPERTIES))
     names = F.array_distinct(F.array_compact(F.concat(F.array("caption"), F.coalesce(F.col("aliases"), F.expr("cast(array() as array<string>)")))))
     return resolved.select("id", "schema", F.when(F.map_contains_key(props, "name"), props).otherwise(F.map_concat(props, F.create_map(F.lit("name"), names))).alias("properties"))

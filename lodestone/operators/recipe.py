@@ -86,7 +86,8 @@ def _scalars(c: _Context) -> list[tuple[str, str, Column]]:
     if c.has("text"):
         texts = [F.col(t) for t in c.cfg.get("pii_columns", [c.cfg["text"]]) if t in c.kinds]
         each = {p: reduce(Column.__or__, [hits(t, p) for t in texts]) for p in RECIPE}
-        out += [("pii", "n_records", F.count_if(reduce(Column.__or__, each.values())))] + [("pii", f"n_{p}", F.count_if(m)) for p, m in each.items()]
+        any_of = F.count_if(reduce(Column.__or__, each.values()))
+        out += [("pii", "n_records", any_of), ("pii", "pct", ratio(any_of, n))] + [("pii", f"n_{p}", F.count_if(m)) for p, m in each.items()]
     if c.has("case"):
         there = F.count_if(present_value(c.col("case"), c.kind("case")))
         out += [("accountability", "with_case", there), ("accountability", "no_case_pct", ratio(n - there, n))]
@@ -159,6 +160,7 @@ def run_recipe(df: DataFrame, cfg: Mapping[str, Any], source: str | None = None,
     if wanted("cross_agency"):
         there = c.actors()
         parts.append(_long(there.groupBy("_source").agg(F.count("*").alias("a"), F.count_if(F.col("n_external") > 0).alias("e")), "cross_agency", {"n_actors": F.col("a"), "n_external": F.col("e") if c.has("geo") else F.lit(None)}))
+        parts.append(_long(there, "cross_agency", {"actor_count": F.col("n")}, F.col("actor")))
         if c.has("geo"):
             parts.append(_long(there.where("n_external > 0"), "cross_agency", {"external_actor": F.col("n_external")}, F.col("actor")))
     if wanted("ai_moderation"):

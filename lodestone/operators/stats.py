@@ -1,14 +1,16 @@
-"""Distribution measures. Ranks over rows never meet in one partition: values are counted first, and ranks come from the
-counts of distinct values."""
+"""Distribution measures. Ranks come from counts of distinct values, which lie in ranges of values: each range ranks its own, and
+only the sums of the ranges before it, a row for each, are carried on. So no group needs to fit in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.semantics import ratio
+from lodestone.functions.shared import narrow, written
 
 
 def concentration(values: DataFrame, value: str, by: Sequence[str] = (), top_frac: float = 0.01) -> DataFrame:
@@ -20,9 +22,14 @@ def concentration(values: DataFrame, value: str, by: Sequence[str] = (), top_fra
     x = F.col(value).cast("double")
     clean = values.where(x.isNotNull() & ~F.isnan(x)).select(*by, F.when(x < 0, F.raise_error(F.lit("negative value"))).otherwise(x).alias("x"))
     tied = clean.groupBy(*by, "x").agg(F.count("*").alias("m"))
-    up = Window.partitionBy(*by).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    ranked = tied.withColumns({"upto": F.sum("m").over(up), "n": F.sum("m").over(whole)})
+    ranged = written(tied.repartitionByRange(*by, "x").withColumn("_p", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy(*by, "_p").agg(F.sum("m").alias("_m"))
+    group = Window.partitionBy(*by)  # a row for each range
+    before = F.sum("_m").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_m").over(group).alias("n"))
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_p") == F.col("_q"))
+    up = Window.partitionBy(*by, "_p").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("upto", F.sum("m").over(up)).join(narrow(parts, 60), same).withColumn("upto", F.col("upto") + F.col("_before"))
     k = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(float(top_frac))))
     half = F.floor(F.col("n") / 2)
     in_top = F.greatest(F.lit(0), F.least(F.col("m"), F.col("upto") - (F.col("n") - k)))

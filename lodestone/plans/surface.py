@@ -7,28 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: name: SQL over the view ``records``. {n} is a limit that the caller may set.
+#: name: SQL over the view ``records`` of derived rows. Each has a limit, as a served table may be large.
 CANNED: dict[str, str] = {
-    "top_agencies": "select agency, count(*) as n from records where agency is not null group by agency order by n desc, agency limit {n}",
-    "geo_split": "select geo, count(*) as n from records group by geo order by n desc, geo limit {n}",
-    "reasons": "select reason_cat, count(*) as n from records group by reason_cat order by n desc, reason_cat limit {n}",
-    "by_month": "select date_trunc('month', date_et) as month, count(*) as n from records where date_et is not null group by 1 order by 1 limit {n}",
-    "by_hour": "select hour_et, count(*) as n from records where hour_et is not null group by hour_et order by hour_et limit {n}",
-    "no_case": "select agency, count_if(not has_case) as n_no_case, count(*) as n from records group by agency order by n_no_case desc, agency limit {n}",
-    "widest_searches": "select agency, reason_text, nets from records where nets is not null order by nets desc, agency, reason_text limit {n}",
-    "immigration": "select agency, count(*) as n from records where is_immigration group by agency order by n desc, agency limit {n}",
+    "record_count": "select count(*) as records from records limit 1",
+    "geo_breakdown": "select geo, count(*) as n from records group by geo order by n desc, geo limit 100",
+    "immigration_count": "select count(*) as immigration_records from records where is_immigration limit 1",
+    "reason_category_breakdown": "select reason_cat, count(*) as n from records group by reason_cat order by n desc, reason_cat limit 100",
+    "automation_by_hour": "select hour_et, count(*) as n from records group by hour_et order by hour_et limit 24",
+    "case_presence": "select count(*) as total, sum(case when has_case then 1 else 0 end) as with_case from records limit 1",
+    "base_type_breakdown": "select base_type, count(*) as n from records group by base_type order by n desc, base_type limit 100",
+    "sample_rows": "select * from records order by all limit 50",
 }
 _READS = ("Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "Union", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "OneRowRelation", "Intersect", "Except", "UnresolvedInlineTable", "LateralJoin", "Window", "Generate", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "Offset", "UnresolvedOrdinal", "Pivot", "Unpivot")
 
 
-def canned(spark: SparkSession, name: str, n: int = 100) -> DataFrame:
+def canned(spark: SparkSession, name: str) -> DataFrame:
     if name not in CANNED:
         raise ValueError(f"no such query: {name}; there are {sorted(CANNED)}")
-    return spark.sql(CANNED[name].format(n=int(n)))
+    return spark.sql(CANNED[name])
 
 
-def safe_sql(spark: SparkSession, query: str, max_rows: int = 1000) -> DataFrame:
-    """A read-only query, of which max_rows rows are shown. What is not made of reading operators raises."""
+def safe_sql(spark: SparkSession, query: str, max_rows: int | None = None) -> DataFrame:
+    """A read-only query, whole unless max_rows is given. What is not made of reading operators raises."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
     names, todo = set(), [plan]
     while todo:
@@ -38,7 +38,7 @@ def safe_sql(spark: SparkSession, query: str, max_rows: int = 1000) -> DataFrame
         todo += [children.apply(i) for i in range(children.size())]
     if bad := sorted(names - set(_READS)):
         raise PermissionError(f"only reading is allowed, not {bad}")
-    return spark.sql(query).limit(max_rows)
+    return spark.sql(query) if max_rows is None else spark.sql(query).limit(max_rows)
 
 
 def token_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

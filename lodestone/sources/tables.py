@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.semantics import present, stripped
+from lodestone.functions.shared import new_path
 from lodestone.operators.derive import empty_to_null
 from lodestone.operators.quality import CEILING
 
 #: Whole tokens of a column's name that make it an identifier: its zeros in front stay.
-ID_TOKENS = frozenset("id ids zip zipcode postal fips phone case ssn badge plate number".split())
+ID_TOKENS = frozenset("zip zipcode fips phone id case plate license account dob ssn".split())
 SAMPLE = 65_536
 
 
@@ -46,7 +47,7 @@ def is_id_like(name: str) -> bool:
 
 def sniff_encoding(head: bytes) -> tuple[str, bool]:
     """(encoding, low confidence) of the first bytes: UTF-8 where they decode, else a guess that is called one."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
         if head.startswith(mark):
             return name, False
     try:
@@ -56,42 +57,76 @@ def sniff_encoding(head: bytes) -> tuple[str, bool]:
         return ("utf-8", False) if e.start >= len(head) - 8 and len(head) >= SAMPLE else ("iso-8859-1", True)
 
 
+def _stream(spark: SparkSession, path: str, mode: str = "open"):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return getattr(p.getFileSystem(spark._jsc.hadoopConfiguration()), mode)(p)
+
+
 def _head(spark: SparkSession, path: str, n: int = SAMPLE) -> bytes:
     """The first bytes of a file of any file system that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    stream = _stream(spark, path)
     try:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
     finally:
         stream.close()
 
 
+def _first_lines(spark: SparkSession, path: str, encoding: str, count: int) -> tuple[list[str], bytes]:
+    """The first lines with their ends, so many or all there are, and the bytes before the first of them (a mark of order)."""
+    n = SAMPLE
+    while True:
+        head = _head(spark, path, n)
+        mark = next((m for m in (b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff") if head.startswith(m)), b"")
+        lines = re.findall(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+", head[len(mark) :].decode(encoding, "replace"))
+        if len(head) < n or len(lines) > count + 1:  # the last one may be cut
+            return lines[:count], mark
+        n *= 4
+
+
+def _without_lines(spark: SparkSession, path: str, encoding: str, skipped: set[int]) -> str:
+    """A copy of the file in the shared folder without those lines. What follows them is copied byte by byte, so line breaks
+    within quotes stay what they are."""
+    lines, mark = _first_lines(spark, path, encoding, max(skipped) + 1)
+    kept = "".join(line for i, line in enumerate(lines) if i not in skipped)
+    offset = len(mark) + len("".join(lines).encode(encoding))
+    target = new_path(spark, "csv") + "/part.csv"
+    source, out = _stream(spark, path), _stream(spark, target, "create")
+    try:
+        source.seek(offset)
+        out.write(bytearray(kept.encode(encoding)))
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+    finally:
+        source.close()
+        out.close()
+    return target
+
+
 def load_csv(spark: SparkSession, path: str, *, encoding: str | None = None, text_columns: Sequence[str] = (), empty_null: bool = True, skip_lines: int | Sequence[int] = 0, infer: bool = True, delimiter: str = ",") -> tuple[DataFrame, LoadReport]:
     """The table and a report. The header is read first, so each column has its type before any row is parsed: identifiers and
     text_columns are strings, others as Spark infers them. skip_lines: so many lines, or those numbers, before the header."""
     report = LoadReport(path)
     head = _head(spark, path)
     guess, low = sniff_encoding(head)
+    encoding = encoding and {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "ascii": "us-ascii", "utf8": "utf-8", "utf16": "utf-16"}.get(name := encoding.lower().replace("_", "-"), name)
+    if encoding == "utf-16":
+        encoding = guess if guess.startswith("utf-16") else "utf-16be"  # its mark tells the order of bytes
     report.encoding, report.low_confidence = encoding or guess, low and not encoding
-    lines = head.decode(report.encoding, "replace").splitlines()
     skipped = set(range(skip_lines)) if isinstance(skip_lines, int) else set(skip_lines)
-    header_line = next(i for i in range(len(lines) + 1) if i not in skipped)
-    if header_line >= len(lines):
+    source = _without_lines(spark, path, report.encoding, skipped) if skipped else path
+    first = "".join(_first_lines(spark, source, report.encoding, 1)[0])
+    while first.count('"') % 2:  # a line break within a quoted name
+        more = "".join(_first_lines(spark, source, report.encoding, first.count("\n") + 1)[0])
+        if more == first:
+            break
+        first = more
+    if not first.strip("\r\n"):
         raise ValueError(f"{path}: no header")
-    header = next(csv.reader([lines[header_line].removeprefix("﻿")], delimiter=delimiter))
+    header = next(csv.reader(io.StringIO(first, newline=""), delimiter=delimiter))
     always = {c.lower() for c in text_columns}
     report.text_columns = [c for c in header if is_id_like(c) or c.lower() in always]
     raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     options = {"encoding": report.encoding, "sep": delimiter, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "" if empty_null else "\u0000", "emptyValue": "" if not empty_null else "", "enforceSchema": True}
-    if skipped:
-        # Lines before the header go by number; the rest is parsed as rows. Line numbers follow the file's own order.
-        text = spark.read.text(path)
-        if report.encoding != "utf-8":
-            text = text.select(F.decode(F.col("value").cast("binary"), report.encoding.upper()).alias("value"))
-        numbered = text.rdd.zipWithIndex().filter(lambda x: x[1] not in skipped and x[1] != header_line).map(lambda x: x[0][0])
-        df = spark.read.options(**{k: v for k, v in options.items() if k not in ("encoding", "multiLine")}).schema(raw_schema).csv(numbered)
-    else:
-        df = spark.read.options(**options).option("header", True).schema(raw_schema).csv(path)
+    df = spark.read.options(**options).option("header", True).schema(raw_schema).csv(source)
     if empty_null:
         df = empty_to_null(df)
     if infer:
@@ -135,9 +170,7 @@ def load_table(spark: SparkSession, path: str, *, parquet_cache: str | None = No
         raise ValueError(f"no reader for .{ending}")
     fill = [c for c in forward_fill_columns if c in df.columns]
     if fill:
-        numbered = df.withColumn("_row", F.monotonically_increasing_id())
-        before = Window.orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a file's order has one place to be known
-        df = numbered.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in fill}).drop("_row")
+        df = filled_in_order(df, fill)
     if parquet_cache:
         df.write.mode("overwrite").parquet(parquet_cache)
         df = spark.read.parquet(parquet_cache)
@@ -145,6 +178,20 @@ def load_table(spark: SparkSession, path: str, *, parquet_cache: str | None = No
     return df, report
 
 
+def filled_in_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each null takes the last value before it in the file's order. Partitions are filled side by side; what each ends with, a
+    row for each, is carried on to the next ones."""
+    names = {c: f"_fill{k}" for k, c in enumerate(columns)}
+    numbered = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    ends = numbered.groupBy("_part").agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("_row"))).alias(n) for c, n in names.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_part", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names.values()])
+    upto = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = {c: F.last(F.col(f"`{c}`"), ignorenulls=True).over(upto) for c in columns}
+    joined = numbered.withColumns(own).join(F.broadcast(carried), "_part")  # a row for each partition
+    return joined.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(n)) for c, n in names.items()}).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -245,10 +292,11 @@ def write_bundle(entities: DataFrame, provenance: DataFrame, folder: str, manife
 
 
 def read_bundle(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Entities (the last of each id) and provenance; counts that don't agree with the manifest raise."""
+    """Entities (the last of each id, by file name and place) and provenance; counts that don't agree with the manifest raise."""
     manifest = spark.read.json(f"{folder}/manifest").first()
     entities, provenance = spark.read.json(f"{folder}/entities"), spark.read.json(f"{folder}/provenance")
     if (entities.count(), provenance.count()) != (manifest["n_entities"], manifest["n_provenance"]):
         raise ValueError("counts differ from the manifest's")
-    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_row")))
-    return entities.withColumn("_row", F.monotonically_increasing_id()).withColumn("_k", last).where("_k = 1").drop("_k", "_row"), provenance
+    place = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    last = entities.select("*", place.alias("_at")).groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in entities.columns]), "_at").alias("e"))
+    return last.select("e.*"), provenance

@@ -61,7 +61,21 @@ def test_redaction_leads(spark):
 
 
 def test_flags(spark):
-    df = spark.createDataFrame([("d", "native_ok", 0.9), ("e", "garbled", 0.9), ("f", "native_ok", float("nan")), ("g", "native_ok", 0.1)], "doc string, diagnosis string, score double")
-    got = df.withColumn("flag_reason", D.flag_reason(F.lit(None).cast("boolean"), F.col("diagnosis"), F.lit(False), F.col("score")))
-    assert [r["flag_reason"] for r in got.collect()] == [None, "garbled", None, "low_score"]
-    assert {r["doc"]: r["trustworthy"] for r in D.trustworthy(got, "doc").collect()} == {"d": True, "e": False, "f": True, "g": False}
+    nan = float("nan")
+    rows = [  # document, diagnosis, OCR ran, its score, review, partial, unavailable, reason
+        ("a", "native_ok", False, nan, False, False, False, None),
+        ("b", "garbled_text", False, 0.9, False, False, False, "garbled text layer"),
+        ("c", "uncertain_review", None, None, None, None, None, "uncertain: too little signal to trust the text layer"),
+        ("d", "image_only", False, nan, False, False, False, "image-only page not OCR'd"),
+        ("e", "image_only", True, 0.95, False, False, False, None),
+        ("f", "image_only", True, 0.7, False, False, False, "low OCR confidence (0.70)"),
+        ("g", "native_ok", False, 0.1, False, False, False, None),  # no OCR: its score says nothing
+        ("h", "native_ok", True, nan, False, False, False, None),
+        ("i", "native_ok", False, nan, True, True, True, "review: document not trustworthy for unattended extraction"),
+        ("j", "native_ok", False, nan, False, True, False, "partial conversion"),
+        ("k", "native_ok", False, nan, False, False, True, "preprocessing requested but unavailable"),
+    ]
+    df = spark.createDataFrame(rows, "doc string, diagnosis string, ocr boolean, score double, review boolean, partial boolean, gone boolean, expected string")
+    got = df.withColumn("flag_reason", D.flag_reason(F.col("diagnosis"), F.col("ocr"), F.col("score"), F.col("review"), F.col("partial"), F.col("gone")))
+    assert [r["flag_reason"] for r in got.orderBy("doc").collect()] == [r[-1] for r in rows]
+    assert {r["doc"]: r["trustworthy"] for r in D.trustworthy(got, "doc").collect()} == {r[0]: r[-1] is None for r in rows}

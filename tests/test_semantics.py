@@ -66,4 +66,5 @@ def test_unknown_derivation_raises(spark):
 
 def test_states_and_splits(spark):
     assert one(spark, "Town PD GA via SC XX", state_of) == "SC" and one(spark, "none", state_of) is None
+    assert one(spark, "Houston Tx PD", state_of) == "TX" and one(spark, "South Carolina Law Enforcement", state_of) == "SC"
     assert one(spark, "a - b - c", lambda c: split_category(c)[1]) == "b - c" and one(spark, "a", lambda c: split_category(c)[1]) is None

@@ -8,9 +8,9 @@ from lodestone.sources import tables as S
 
 
 def test_id_like():
-    for yes in ("zip", "ZIPCode", "case_number", "caseID", "Phone 2", "user_id"):
+    for yes in ("zip", "ZIPCode", "case_number", "caseID", "Phone 2", "user_id", "dob", "account", "driverLicense", "SSNField", "zip5"):
         assert S.is_id_like(yes), yes
-    for no in ("router", "valid", "zipper_count", "amount", "idle"):
+    for no in ("router", "valid", "zipper_count", "amount", "idle", "number_of_searches", "postal", "badge", "accounts"):
         assert not S.is_id_like(no), no
 
 
@@ -33,6 +33,31 @@ def test_junk_header_latin_and_fill(spark, tmp_path):
     assert report.low_confidence
 
 
+@pytest.mark.parametrize(("encoding", "end"), [("utf-8", "\n"), ("utf-8", "\r\n"), ("latin-1", "\n"), ("utf-16", "\n")])
+def test_line_breaks_in_quotes_below_junk(spark, tmp_path, encoding, end):
+    p = tmp_path / "c.csv"
+    p.write_bytes(end.join(["junk", 'more "junk', "zip,note,n", '01,"two', 'lines"', "02,x,5", ""]).replace('lines"', 'lines",4').encode(encoding))
+    df, report = S.load_csv(spark, str(p), skip_lines=2, encoding="utf-16" if encoding == "utf-16" else None)
+    assert [tuple(r) for r in df.collect()] == [("01", "two\nlines", 4), ("02", "x", 5)]
+
+
+def test_lines_by_number_and_long_headers(spark, tmp_path):
+    p = tmp_path / "d.csv"
+    wide = ",".join(f"column_{k}" for k in range(20_000))
+    p.write_text(f"junk\n{wide}\nunits\n" + ",".join(["1"] * 20_000) + "\n")
+    df, _ = S.load_csv(spark, str(p), skip_lines=[0, 2], infer=False)
+    assert len(df.columns) == 20_000 and df.select("column_19999").first()[0] == "1" and df.count() == 1
+    (tmp_path / "e.csv").write_text("")
+    with pytest.raises(ValueError):
+        S.load_csv(spark, str(tmp_path / "e.csv"))
+
+
+def test_fill_across_partitions(spark):
+    df = spark.createDataFrame([(k, "v" + str(k) if k in (3, 11, 12) else None, None) for k in range(40)], "k int, v string, w string").repartitionByRange(7, "k").sortWithinPartitions("k")
+    got = S.filled_in_order(df, ["v", "w"]).orderBy("k").collect()
+    assert [r["v"] for r in got] == [None] * 3 + ["v3"] * 8 + ["v11"] + ["v12"] * 28 and all(r["w"] is None for r in got)
+
+
 def sheet(rows, merges=()):
     ref = lambda r, c: f"{chr(65 + c)}{r + 1}"
     cell = lambda r, c, v: f'<c r="{ref(r, c)}" t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f'<c r="{ref(r, c)}"><v>{v}</v></c>'
@@ -69,8 +94,14 @@ def test_served_fails_closed(spark, tmp_path):
 
 
 def test_canned(spark):
-    spark.createDataFrame([("X", "IN")], "agency string, geo string").createOrReplaceTempView("records")
-    assert canned(spark, "top_agencies").first()["n"] == 1
+    rows = [("IN", "Other", False, 5, True, "Open", 3), ("OOS", "Drugs", True, None, False, "Open", None), ("OOS", "Drugs", True, 2, None, None, 3)]
+    spark.createDataFrame(rows, "geo string, reason_cat string, is_immigration boolean, nets int, has_case boolean, base_type string, hour_et int").createOrReplaceTempView("records")
+    got = lambda name: [tuple(r) for r in canned(spark, name).collect()]
+    assert got("record_count") == [(3,)] and got("geo_breakdown") == [("OOS", 2), ("IN", 1)] and got("immigration_count") == [(2,)]
+    assert got("reason_category_breakdown") == [("Drugs", 2), ("Other", 1)] and got("automation_by_hour") == [(None, 1), (3, 2)]
+    assert got("case_presence") == [(3, 1)] and got("base_type_breakdown") == [("Open", 2), (None, 1)] and len(got("sample_rows")) == 3
+    assert safe_sql(spark, "select explode(sequence(1, 5000)) as x from records").count() == 15_000
+    assert safe_sql(spark, "select * from records", 2).count() == 2
     with pytest.raises(ValueError):
         canned(spark, "nope")
 
