@@ -82,6 +82,8 @@ class Pieces:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         n = range(p.get_piece_size())
         single = {i: int(p.id_to_piece(i)[1:-1], 16) for i in n if p.is_byte(i)}
+        if any(p.get_score(i) % 1 for i in n):  # merges are numbered; only a unigram model has logarithms of probabilities
+            raise ValueError(f"{path} is no BPE model")
         return cls([p.id_to_piece(i) for i in n], [p.get_score(i) for i in n], {i for i in n if p.is_control(i) or p.is_unknown(i) or p.is_unused(i)}, single)
 
     def _merge(self, text: str, stop_at_two: bool = False) -> list[str]:

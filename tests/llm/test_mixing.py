@@ -57,3 +57,46 @@ def test_odd_tables(spark, odd, none):
     with pytest.raises(ValueError):
         M.mix(odd, {"a": -1.0})
     assert M.mix(odd, {"nowhere": 1.0}).count() == 0
+
+
+def slow_mix(rows, weights, total, seed):
+    """Copies of each row of one partition, one duel after the other; then those left open, by source."""
+    sizes = Counter(s for _, s in rows)
+    whole = sum(weights.get(s, 0) for s in sizes)
+    p, copies, waiting = {}, {}, {}
+    for i, (_, s) in enumerate(rows):
+        rate = weights.get(s, 0) / whole * total / sizes[s]
+        copies[i], p[i] = int(rate + 1e-9), M._close(rate - int(rate + 1e-9))
+        if p[i] in (0, 1):
+            continue
+        if s in waiting:
+            k = waiting.pop(s)
+            p[k], p[i] = map(M._close, M.duel(p[k], p[i], M._uniform(seed, 0, i, s)))
+            waiting |= {s: j for j in (k, i) if p[j] not in (0, 1)}
+        else:
+            waiting[s] = i
+    left = [waiting[s] for s in sorted(waiting, key=lambda s: (s is None, s or ""))]
+    if left:
+        k = left[0]
+        for i in left[1:]:
+            p[k], p[i] = map(M._close, M.duel(p[k], p[i], M._uniform(seed, "tree", 0, i, 0, k)))
+            k = i if p[k] in (0, 1) else k
+    return {rows[i][0]: copies[i] + int(p[i]) for i in copies}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mix_against_brute_force(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(211)]
+    weights = {"a": 2.0, "b": 1.0, "c": 5.0, None: 1.0}
+    spark.createDataFrame(rows, "doc_id long, source string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    got = Counter(r["doc_id"] for r in M.mix(df, weights, 150, seed=seed).collect())
+    true = slow_mix([tuple(r) for r in df.collect()], weights, 150, seed)
+    assert {i: got.get(i, 0) for i, _ in rows} == true and sum(true.values()) == 150
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "s", i, "x", 2.0, "y") for i in range(9)], "doc_id long, Source string, _mix_copies long, _mix_source string, _mix_p double, c0 string")
+    out = M.mix(df, {"s": 1.0}, 18)
+    assert out.columns == df.columns and out.count() == 18 and all(r["_mix_copies"] == r["doc_id"] and r["_mix_source"] == "x" for r in out.collect())

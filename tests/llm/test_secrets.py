@@ -107,3 +107,28 @@ def test_labels_and_separators(spark):
     assert all(x["length"] == len(made[x["doc_id"] % 5](x["doc_id"])) for x in found)  # the run goes, with its label
     text = {r["doc_id"]: r["text"] for r in S.redact(df, rules).collect()}
     assert all(S.MASK in text[x["doc_id"]] and made[x["doc_id"] % 5](x["doc_id"]) not in text[x["doc_id"]] for x in found)
+
+
+def test_scan_against_brute_force(spark):
+    """Runs, candidates, tests, evidence and discovery, in plain Python."""
+    import brute
+
+    kinds = [S.ENCODINGS[k] for k in ("hex", "base62", "base64url", "base36", "hex_upper", "decimal", "base64")]
+    odd = ["getElementsByTagNameAndValue", "0123456789abcdef0123456789abcdef", "a" * 40, "docs/images/thumbnails/small", "2024-01-02-03-04-05-06", "é0123456789abcdef0123", "key-", "", "-" * 30, "id_" + "9" * 20]
+    rows = []
+    for i in range(160):
+        rng = random.Random(i)
+        extra = key(kinds[i % 7], rng.randint(14, 70), i) if i % 3 == 0 else "sk_live_" + key(kinds[i % 7], 30, i) if i % 3 == 1 else rng.choice(odd)
+        rows.append((i, prose(rng.randint(0, 40), i) + f' x="{extra}" ' + prose(5, i) if i != 50 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slow, rules = brute.Secrets([t for _, t in rows], S), S.learn(df)
+    assert rules.least_bin == slow.least
+    found = S.scan(df, rules).collect()
+    true = {(i, start, len(run)) for i, t in rows for start, run in slow.secrets(t)}
+    assert {(r["doc_id"], r["start"], r["length"]) for r in found} == true and len(true) > 40
+    for r in found:
+        text = rows[r["doc_id"]][1]
+        run = text[r["start"] : r["start"] + r["length"]]
+        tests = [(c, slow.battery(c, slow.encoding(c))) for c in slow.candidates(run) if list(S.ENCODINGS)[slow.encoding(c)] == r["encoding"]]
+        assert any(r["p_uniform"] == pytest.approx(p[0], abs=1e-9) and r["p_runs"] == pytest.approx(p[1], abs=1e-9) and r["p_serial"] == pytest.approx(p[2], abs=1e-9) and r["p_random"] == pytest.approx(p[3], abs=1e-9) and r["p_ordinary"] == pytest.approx(slow.p_ordinary(c, slow.encoding(c)), rel=1e-3) for c, p in tests)
+    assert {r["doc_id"]: r["text"] for r in S.redact(df, rules).collect()} == {i: t if t is None else slow.redacted(t) for i, t in rows}

@@ -49,3 +49,18 @@ def test_round_trip(spark, odd, none):
     for r in odd.collect():
         if "▁" not in (r["text"] or ""):
             assert back[r["doc_id"]] == r["text"]
+
+
+def test_only_merges_are_taken(monkeypatch):
+    class Unigram:
+        def __init__(self, **_):
+            pass
+
+        get_piece_size = lambda _: 3
+        id_to_piece = lambda _, i: "abc"[i]
+        get_score = lambda _, i: -1.5 * i
+        is_byte = is_control = is_unknown = is_unused = lambda *_: False
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError):
+        S.Pieces.load("some.model")

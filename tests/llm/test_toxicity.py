@@ -68,3 +68,39 @@ def test_odd_tables(odd, none, fitted):
     assert kept.columns == odd.columns and kept.count() == odd.count()
     unlearnt = T.fit(odd, odd.sparkSession.createDataFrame([], "doc_id long, toxic int"))
     assert T.score(odd, unlearnt).where("is_toxic or p_toxic > 0.01").count() == 0 and T.keep_clean(odd, unlearnt).count() == odd.count()
+
+
+def test_score_against_brute_force(spark, fitted):
+    """Words, their hashes, counts and the link, in plain Python."""
+    import brute
+
+    texts = [t for _, t, _ in corpus(60, 5)] + ["", None, "Vile VILE vile nastiness rottenly w1 éé_9 ſ", "word " * 3000 + "awful", "x"]
+    got = {r["doc_id"]: r for r in T.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fitted).collect()}
+    for i, t in enumerate(texts):
+        up = brute.up_to(t, fitted)
+        full = [1.0, *up, 0.0]
+        shares = [a - b for a, b in zip(full, full[1:])]
+        assert got[i]["expected_severity"] == pytest.approx(sum(up)) and got[i]["p_toxic"] == pytest.approx(up[0]) and got[i]["grade"] == shares.index(max(shares)) and got[i]["is_toxic"] == (up[0] >= 0.5)
+    kept = {r["doc_id"] for r in T.keep_clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fitted).collect()}
+    assert kept == {i for i, t in enumerate(texts) if brute.up_to(t, fitted)[0] < 0.5}
+
+
+def test_features_against_brute_force(spark, fitted):
+    """What a fit chooses: features by chi-squared and lift, counted row by row."""
+    import brute
+
+    rows = list(corpus(1200, 1))
+    n1 = sum(t for _, _, t in rows)
+    n0, seen = len(rows) - n1, {}
+    for _, text, toxic in rows:
+        for h in brute.features(text):
+            a, b = seen.get(h, (0, 0))
+            seen[h] = (a + toxic, b + 1 - toxic)
+    chosen = set()
+    for h, (a, b) in seen.items():
+        d = a * (n0 - b) - b * (n1 - a)
+        chi2 = d * d * (n1 + n0) / (n1 * n0 * (a + b) * max(n1 + n0 - a - b, 1))
+        lift = (a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))
+        if a + b >= T.MIN_ROWS and chi2 >= T.MIN_CHI2 and not 1 / T.MIN_LIFT < lift < T.MIN_LIFT:
+            chosen.add(h)
+    assert set(fitted.features.tolist()) == chosen and len(chosen) >= 4
