@@ -107,9 +107,33 @@ def slow_score(a, b):
     return round(out, 6)
 
 
-def test_candidates_against_brute_force(spark):
+def test_edit_distances():
     import random
 
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abé\U0001f600 ") for _ in range(rng.choice([0, 1, 5, 12, 63, 64, 65, 90]))) for _ in range(80)]
+    codes, size = R._codes(texts)
+    for t in texts[:30]:
+        assert R.edit_distances(t, codes, size).tolist() == [round((1 - slow_plain(t, u)) * max(len(t), len(u), 1)) for u in texts]
+
+
+def slow_plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+@pytest.mark.parametrize("side", [2_000, 7])
+def test_candidates_against_brute_force(spark, monkeypatch, side):
+    import random
+
+    monkeypatch.setattr(R, "SIDE", side)
+    monkeypatch.setattr(R, "OTHER_SIDE", side + 1)
+
     rng = random.Random(4)
     first, last = ["John", "Jon", "Mary", "ann-marie", "Acme"], ["Smith", "Smyth", "O'Neil", "Corp.", "Corporation", "12 34"]
     rows = [(str(i), "P" if i % 5 else "Q", " ".join(rng.sample([rng.choice(first), rng.choice(last), rng.choice(first)], rng.randint(1, 3)))) for i in range(60)]
@@ -162,3 +186,20 @@ def test_cross_reference(spark):
     q = spark.createDataFrame([("q", "Acme Corp")], "id string, name string")
     c = spark.createDataFrame([("1", "ACME corp.", "d"), ("2", "Zed", "d"), ("3", "Acme Corporation", None)], "id string, name string, dataset string")
     assert {(r["entity_id"], r["dataset"]) for r in R.cross_reference(q, c, 0.5).collect()} == {("1", "d"), ("3", "(unknown)")}
+
+
+@pytest.mark.parametrize("side", [2_000, 3])
+def test_cross_reference_keeps_the_best(spark, monkeypatch, side):
+    """The cap counts over all pieces of a block, by score and then by id, for each dataset."""
+    monkeypatch.setattr(R, "SIDE", side)
+    monkeypatch.setattr(R, "OTHER_SIDE", side + 1)
+    names = [f"acme unit {i:03d}" for i in range(40)]
+    c = spark.createDataFrame([(str(i), n, "d" if i % 3 else "e") for i, n in enumerate(names)], "id string, name string, dataset string")
+    q = spark.createDataFrame([(str(i), names[i]) for i in (0, 11, 25)] + [("none", None), ("other", "zzz")], "id string, name string")
+    got = {(r["query_id"], r["entity_id"], r["dataset"]): r["score"] for r in R.cross_reference(q, c, 0.7, 5).collect()}
+    true = {}
+    for i in (0, 11, 25):
+        for d in "de":
+            hits = sorted(((-slow_score(names[i], n), str(k)) for k, n in enumerate(names) if ("d" if k % 3 else "e") == d))[:5]
+            true |= {(str(i), k, d): -v for v, k in hits}
+    assert got == pytest.approx(true)
