@@ -23,8 +23,9 @@ from lodestone.llm.common import per_slice, word_hashes
 
 #: Labelled rows that the classifier is fitted on, at most: those with the least hash of the id.
 FIT_ROWS = 20_000
-#: Features kept at most: those whose presence tells toxic rows best, by the chi-squared statistic.
-FEATURES = 4096
+#: Features kept at most, a bound of memory: those whose presence tells toxic rows best, by the chi-squared statistic. A fit on FIT_ROWS
+#: rows has chosen some thousand at most so far.
+FEATURES = 131_072
 #: Rows that a feature is in, at least, and its least statistic.
 MIN_ROWS, MIN_CHI2 = 8, 30.0
 #: How many times as frequent, or as rare, a feature is in toxic rows, at least.
