@@ -530,7 +530,7 @@ def _catalogue(name: str) -> None:
         return _records(spark, d, name)
 
     run.__name__ = f"catalogue_{name}"
-    query(f"with records as ({_RECORDS}) {CANNED[name].replace('order by all', 'order by all')}")(run)
+    query(f"with records as ({_RECORDS}) {CANNED[name].replace('sum(case when has_case then 1 else 0 end)', 'cast(sum(case when has_case then 1 else 0 end) as bigint)')}")(run)
 
 
 for _name in CANNED:
