@@ -7,15 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _breakdown(column: str) -> str:
+    """How many rows each value has, most first."""
+    return f"select {column}, count(*) as n from records group by {column} order by n desc, {column} limit 100"
+
+
 #: name: SQL over the view ``records`` of derived rows. Each has a limit, as a served table may be large.
 CANNED: dict[str, str] = {
     "record_count": "select count(*) as records from records limit 1",
-    "geo_breakdown": "select geo, count(*) as n from records group by geo order by n desc, geo limit 100",
+    "geo_breakdown": _breakdown("geo"),
+    "reason_category_breakdown": _breakdown("reason_cat"),
+    "base_type_breakdown": _breakdown("base_type"),
     "immigration_count": "select count(*) as immigration_records from records where is_immigration limit 1",
-    "reason_category_breakdown": "select reason_cat, count(*) as n from records group by reason_cat order by n desc, reason_cat limit 100",
-    "automation_by_hour": "select hour_et, count(*) as n from records group by hour_et order by hour_et limit 24",
+    "automation_by_hour": _breakdown("hour_et").replace("order by n desc, hour_et limit 100", "order by hour_et limit 24"),
     "case_presence": "select count(*) as total, sum(case when has_case then 1 else 0 end) as with_case from records limit 1",
-    "base_type_breakdown": "select base_type, count(*) as n from records group by base_type order by n desc, base_type limit 100",
     "sample_rows": "select * from records order by all limit 50",
 }
 _READS = ("Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "Union", "Distinct", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "OneRowRelation", "Intersect", "Except", "UnresolvedInlineTable", "LateralJoin", "Window", "Generate", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "Offset", "UnresolvedOrdinal", "Pivot", "Unpivot")
