@@ -7,17 +7,32 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: As the reference has them, for Python's re; ``java`` gives the same to Spark.
+_END = r"\b"
+
+
+def _digits(n: int, more: str = "") -> str:
+    return rf"\d{{{n}{more}}}"
+
+
+def _word(*parts: str) -> str:
+    """A pattern that begins and ends at the border of a word."""
+    return _END + "".join(parts) + _END
+
+
+_GAP, _SLASH, _DASH = r"[-.\s]", r"\s?/\s?", r"[\s-]?"
+_MONTH, _DAY, _YEAR = "(?:" + "0?[1-9]" + "|" + "1[0-2]" + ")", "(?:" + "0?[1-9]" + "|" + r"[12]\d" + "|" + "3[01]" + ")", "(?:" + "19" + "|" + "20" + ")" + r"\d" * 2
+_LICENCES = "|".join(("OLN", "DLN", "DL", "OL"))
+#: As the reference means them, for Python's re; ``java`` gives the same to Spark.
 PATTERNS: dict[str, str] = {
-    "phone": r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b|\(\d{3}\)[-.\s]?\d{3}[-.\s]?\d{4}\b",
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "email": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
-    "dob_kw": r"(?i)\bD\.?O\.?B\.?\b",
-    "alien_num": r"\bA#?[\s-]?\d{3}[\s-]?\d{3}[\s-]?\d{2,3}\b",
-    "driver_lic": r"\b(?:OLN|DLN|DL|OL)\s?#?\s?(?=[A-Z0-9]*\d)[A-Z0-9]{6,}\b",
-    "race_sex": r"\b[BWHAI]\s?/\s?[MF]\b",
-    "possible_birthdate": r"\b(?:0?[1-9]|1[0-2])[/-](?:0?[1-9]|[12]\d|3[01])[/-](?:19|20)\d\d\b",
-    "phone_compact": r"\b\d{10}\b",
+    "phone": _word(_GAP.join((_digits(3), _digits(3), _digits(4)))) + "|" + rf"\({_digits(3)}\)" + f"{_GAP}?".join(("", _digits(3), _digits(4))) + _END,
+    "ssn": _word("-".join(map(_digits, (3, 2, 4)))),
+    "email": _word("@".join((r"[\w.+-]+", r"[\w-]+")), r"\.", r"[\w.-]+"),
+    "dob_kw": "(?i)" + _word(*(f"{letter}\\.?" for letter in "DOB")),
+    "alien_num": _word("A#?", _DASH.join(("", _digits(3), _digits(3), _digits(2, ",3")))),
+    "driver_lic": _word(f"(?:{_LICENCES})", r"\s?".join(("", "#?", "")), r"(?=[A-Z0-9]*\d)", "[A-Z0-9]{6,}"),
+    "race_sex": _word(_SLASH.join(("[BWHAI]", "[MF]"))),
+    "possible_birthdate": _word("[/-]".join((_MONTH, _DAY, _YEAR))),
+    "phone_compact": _word(_digits(10)),
 }
 _WORD = r"[\p{L}\p{N}_]"
 #: What Python's classes are to Java, whose own know ASCII alone or count combining marks as letters.
