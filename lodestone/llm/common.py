@@ -69,12 +69,11 @@ def narrow(df: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for each vertex that isn't the least of its component. edges: (u, v). Alternates large and small stars;
-    each round is a written table, and the rounds grow with the logarithm of the largest component. Minima are partial
-    before the shuffle, so the middle of a star of any size is one row of each task."""
+    """(v, root) for each vertex that isn't the least of its component. edges: (u, v). Alternates large and small stars until
+    stars are all there is; each round is a written table, and the rounds grow with the logarithm of the largest component.
+    Minima are partial before the shuffle, so the middle of a star of any size is one row of each task."""
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.select("u", "v").union(edges.select("v", "u"))
         least = narrow(written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least"), 24)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -82,10 +81,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.join(narrow(written(large.groupBy("u").agg(F.min("v").alias("m")), "star-least"), 24), "u")
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "stars")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u has one v alone, and no v is a u: then each v is the least of its component."""
+    several = edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1").select("u")
+    chained = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()
 
 
 def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,7 +1,10 @@
 import random
 import re
 
+import pytest
+
 from lodestone.llm import ngram_join as J
+from lodestone.llm.common import components
 
 
 def sets(text):
@@ -114,3 +117,21 @@ def test_odd_tables(odd, none):
     kept = J.keep_one(odd)
     assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (0, 1, 2, 4, 6, 8, 9)] + [(True, 0)]
     assert J.linked(none).count() == 0 and J.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["chain", "random", "stars", "none"])
+def test_components_against_brute_force(spark, shape):
+    rng = random.Random(3)
+    edges = {"chain": [(i, i + 1) for i in range(40)], "random": [(rng.randrange(90), rng.randrange(90)) for _ in range(70)], "stars": [(i, i % 5) for i in range(50)], "none": [(7, 7)]}[shape]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
