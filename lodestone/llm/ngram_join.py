@@ -2,7 +2,7 @@
 
 1. Each text becomes a set of hashed n-grams. Documents with equal sets are one class, so copies cost nothing more.
 2. Classes meet where a band of their MinHash signature agrees (``ROWS`` minima to a band, ``BANDS`` bands: a pair at
-   the threshold of 0.5 meets with probability 0.995, a pair at 0.6 with 0.9999). No bucket is capped.
+   the threshold of 0.5 meets with probability 0.99998, a pair at 0.55 with 0.9999995). No bucket is capped.
 3. A class belongs to the tile of the least class with which it shares a bucket and which size and 256-bit bitmap don't
    rule out (popcount(A & ~B) elements of A can't be in B); without one, to its own. Where a bucket holds several tiles,
    its classes also visit the lesser ones. So a group of near copies is one tile, and its pairs are never rows.
@@ -34,7 +34,7 @@ from lodestone.llm.common import components, mix, narrow, per_slice, word_hashes
 
 N = 3
 THRESHOLD = 0.5
-BANDS, ROWS = 40, 3
+BANDS, ROWS = 80, 3
 #: Bytes of sets, and sets, in a block of a tile, about.
 TILE_BYTES, TILE_SETS = 16_000_000, 4_000
 _U = np.uint64
