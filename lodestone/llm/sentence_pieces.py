@@ -5,7 +5,9 @@ A BPE segmentation is right exactly where every two neighbouring pieces are: whe
 two are such neighbours; one path survives to each position. Survivors of the last ``longest`` positions (no piece is
 longer) are followed back; where they meet, ids up to there are committed and the window moves on, so the state stays
 bounded however long the text is. Where no piece of the vocabulary spans two adjacent characters, such as at the end of
-a word, paths always meet: texts are cut there first, and the ids of short segments are remembered.
+a word, paths always meet: texts are cut there first, and the ids of short segments are remembered. As one path alone leads
+to each position, a short segment needs no lattice: the longest piece that fits is taken, and where none does, the position
+is given up for good and the piece before it gives way to the next shorter one.
 
 Ids equal the model's own. The model is a file given by path, read on the driver; workers get its tables.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,15 @@ class Pieces:
                     self.split[i] = (self.ids[parts[0]], self.ids[parts[1]])
                 else:
                     del self.ids[t]  # no text is ever encoded with it
+        self.size = list(map(len, texts))
+        self.heads: dict[str, int | None] = {}  # of what a piece begins with, and of pieces: the longest piece that it begins with
+        self.shorter: list[int | None] = [None] * len(texts)  # of each piece: the longest other one that it begins with
+        for t, i in self.ids.items():
+            longest = None
+            for k in range(1, len(t) + 1):
+                if k == len(t):
+                    self.shorter[i] = longest
+                longest = self.heads[t[:k]] = self.ids.get(t[:k], longest)
         self.cut = self._cut()
 
     def _cut(self) -> str:
@@ -75,6 +87,11 @@ class Pieces:
         rest = rf"(?:[^\w{SPACE}{lone}]|[_{''.join(map(re.escape, odd))}])+"
         return rf"{SPACE}*{w}+|{SPACE}*{rest}|{SPACE}+" + (f"|[{lone}]" if lone else "")
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One for all tasks of a worker, which keeps what is broadcast: what it remembers serves the next task."""
+        return Encoder(self)
+
     @classmethod
     def load(cls, path: str) -> Pieces:
         import sentencepiece
@@ -102,6 +119,7 @@ class Encoder:
         self.p, self.fits = pieces, {}
         self.cut = re.compile(pieces.cut)
         self.memory = _Memory(self)
+        self.little = [i.to_bytes(4, "little") for i in range(len(pieces.texts))]
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether pieces a and b, joined, are merged as [a, b]: no merge across the border comes before those within."""
@@ -176,31 +194,42 @@ class Encoder:
 
     def short(self, text: str) -> list[int]:
         """The same for a short text, in one go."""
-        ids, longest, known, ask = self.p.ids, self.p.longest, self.fits, self.neighbours
-        whole = ids.get(text)
-        if whole is not None:
-            return [whole]
-        n = len(text)
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            if text[i - 1] not in ids:
+        heads, size, shorter, known, ask = self.p.heads, self.p.size, self.p.shorter, self.fits, self.neighbours
+        n, i = len(text), 0
+        out: list[int] = []
+        dead: set[int] = set()  # positions from which no path leads to the end
+        while i < n:
+            j = i + 3 if i + 3 < n else n  # pieces in prose are about as long
+            if text[i:j] in heads:
+                while j < n and text[i : j + 1] in heads:
+                    j += 1
+            else:
+                j -= 1
+                while j > i and text[i:j] not in heads:
+                    j -= 1
+            t = heads.get(text[i:j])
+            if t is None:  # a character outside the vocabulary
                 return [i for some in self.stream([text]) for i in some]
-            for j in range(i - longest if i > longest else 0, i):
-                t = ids.get(text[j:i])
-                if t is not None:
-                    if j:
-                        fit = known.get((last[j], t))
-                        if fit is None:
-                            fit = ask(last[j], t)
-                        if not fit:
-                            continue
-                    last[i], back[i] = t, j
-                    break
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+            j = i + size[t]
+            while True:
+                if j not in dead:
+                    if not out:
+                        break
+                    fit = known.get((out[-1], t))
+                    if fit is None:
+                        fit = ask(out[-1], t)
+                    if fit:
+                        break
+                t = shorter[t]
+                while t is None:
+                    dead.add(i)
+                    t = out.pop()
+                    i -= size[t]
+                    t = shorter[t]
+                j = i + size[t]
+            out.append(t)
+            i = j
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
@@ -223,7 +252,7 @@ class _Memory(dict):
         ids = self.older.get(segment)
         if ids is None:
             some = self.encoder.short(segment) if len(segment) <= SHORT else [i for part in self.encoder.stream([segment]) for i in part]
-            ids = np.array(some, "<i4").tobytes()
+            ids = b"".join(map(self.encoder.little.__getitem__, some))
         if len(segment) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -235,12 +264,9 @@ class _Memory(dict):
 def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame:
     """doc_id, ids, n_ids; with check also exact: whether decoding gives the text again. No shuffle."""
     tables = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
-    state: list[Encoder] = []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.append(Encoder(tables.value))
-        encoder = state[0]
+        encoder = tables.value.encoder
         col = batch.column("text")
         texts = col.to_pylist()
         flat = [None if t is None else encoder.encode(t) for t in texts]

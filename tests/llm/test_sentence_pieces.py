@@ -1,4 +1,6 @@
 import os
+import pickle
+import random
 
 import numpy as np
 import pytest
@@ -26,6 +28,40 @@ def test_ids_are_the_models_own(pieces, text):
         assert [i for part in e.stream(S.SPACE + text.replace(" ", S.SPACE)) for i in part] == own
 
 
+def test_short_segments(pieces):
+    """Pieces side by side, at random: the longest first is often wrong, and some places lead nowhere."""
+    own, e, rng = sentencepiece.SentencePieceProcessor(model_file=S.MODEL), S.Encoder(pieces), random.Random(4)
+    some = [t for t in sorted(pieces.ids) if S.SPACE not in t]
+    for _ in range(3000):
+        text = "".join(rng.choices(some, k=rng.randint(1, 6)))
+        text = "".join(c if rng.random() < 0.9 else rng.choice("aeinrst\u0378") for c in text)
+        got = e.short(S.SPACE + text)
+        assert got == own.encode(text) == [i for part in e.stream(S.SPACE + text) for i in part]
+
+
+def test_short_segments_take_few_steps(pieces):
+    """Less than a few parts of the text are looked at for each of its characters, not one of each length."""
+
+    class Counted(str):
+        looks = 0
+
+        def __getitem__(self, k):
+            Counted.looks += 1
+            return str.__getitem__(self, k)
+
+    for text in ("undividedprose" * 4, "interoperabilidadestraße", "xqzjkvxqzjkvxqzjkv"):
+        Counted.looks = 0
+        assert len(S.Encoder(pieces).short(Counted(S.SPACE + text))) > 1 and Counted.looks <= 4 * len(text)
+
+
+def test_memory_serves_all_tasks_of_a_worker():
+    """What was broadcast stays with a worker; so does its encoder, which isn't sent along."""
+    pieces = pickle.loads(pickle.dumps(S.Pieces.load(S.MODEL)))
+    assert "encoder" not in vars(pieces)
+    pieces.encoder.encode("some words")
+    assert len(pieces.encoder.memory) == 2
+
+
 def test_window_is_bounded(pieces):
     """Ids come long before the end, and no window holds more than a few times the longest piece."""
     taken = 0
