@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.semantics import canonical_json as canonical
@@ -63,20 +63,25 @@ def chains(events: DataFrame, case: str, order: str) -> DataFrame:
     return grouped.select(case, F.explode(F.aggregate("rows", F.array().cast(kind), link)).alias("e")).select(case, "e.*")
 
 
-def verify(log: DataFrame, case: str | None = None) -> DataFrame:
+def verify(log: DataFrame, case: str | None = None, also: Sequence[Column] = ()) -> DataFrame:
     """valid and n_entries (and the case): sequence from 0 without a gap, links and digests right. log: seq, time, event,
-    artifact_sha256, actor, prev_entry_sha256, entry_sha256. A null that breaks a link is not valid; an empty log is.
-
-    Each entry meets the one before by number, so a log of any length is spread."""
-    key = [case] if case else []
-    names = ["seq", "time", "event", "artifact_sha256", "actor", "prev_entry_sha256"]
-    before = log.select(*[F.col(k).alias("_case") for k in key], (F.col("seq") + 1).alias("_seq"), F.col("entry_sha256").alias("_before")).groupBy(*["_case"] * len(key), "_seq").agg(F.max("_before").alias("_before"))
-    on = F.col("seq") == F.col("_seq")
-    rows = log.join(before, on & F.col(case).eqNullSafe(F.col("_case")) if case else on, "left")
+    artifact_sha256, actor, prev_entry_sha256, entry_sha256. A null that breaks a link is not valid; an empty log is. also: further
+    aggregates of a log.
+
+    Without a case each entry meets the one before by number, so a log of any length is spread. With a case its entries lie in
+    order in one place, where chains put them already, so they aren't moved again; what doesn't fit into memory spills."""
+    names = [F.col(c) for c in ("seq", "time", "event", "artifact_sha256", "actor", "prev_entry_sha256")]
+    if case:
+        order = Window.partitionBy(case).orderBy("seq")
+        rows = log.withColumns({"_before": F.lag("entry_sha256").over(order), "_place": F.row_number().over(order) - 1})
+        whole = F.coalesce(F.bool_and(F.coalesce(F.col("seq") == F.col("_place"), F.lit(False))), F.lit(True))
+    else:
+        before = log.select((F.col("seq") + 1).alias("_seq"), F.col("entry_sha256").alias("_before")).groupBy("_seq").agg(F.max("_before").alias("_before"))
+        rows = log.join(before, F.col("seq") == F.col("_seq"), "left")
+        whole = (F.count("seq") == F.count("*")) & F.coalesce((F.min("seq") == 0) & (F.max("seq") == F.count("*") - 1) & (F.count_distinct("seq") == F.count("*")), F.count("*") == 0)
     linked = F.when(F.col("seq") == 0, F.col("prev_entry_sha256") == GENESIS).otherwise(F.col("prev_entry_sha256") == F.col("_before"))
-    good = F.coalesce(linked & (F.col("entry_sha256") == entry_digest(*[F.col(c) for c in names])), F.lit(False))
-    whole = (F.count("seq") == F.count("*")) & F.coalesce((F.min("seq") == 0) & (F.max("seq") == F.count("*") - 1) & (F.count_distinct("seq") == F.count("*")), F.count("*") == 0)
-    return rows.groupBy(*key).agg((F.coalesce(F.bool_and(good), F.lit(True)) & whole).alias("valid"), F.count("*").alias("n_entries"))
+    good = F.coalesce(linked & (F.col("entry_sha256") == entry_digest(*names)), F.lit(False))
+    return rows.groupBy(*([case] if case else [])).agg((F.coalesce(F.bool_and(good), F.lit(True)) & whole).alias("valid"), F.count("*").alias("n_entries"), *also)
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

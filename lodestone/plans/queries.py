@@ -460,8 +460,8 @@ def custody_chain(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     events = o.select(F.col("o_custkey").alias("custkey"), "o_orderkey", F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("time"), F.col("o_orderstatus").alias("event"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("artifact_sha256"), F.col("o_orderpriority").alias("actor"))
     log = evidence.chains(events, "custkey", "o_orderkey")
-    last = log.groupBy("custkey").agg(F.max_by("entry_sha256", "seq").alias("last_entry"))
-    return evidence.verify(log, "custkey").join(last, "custkey").select("custkey", "valid", "n_entries", "last_entry")
+    last = F.max_by("entry_sha256", "seq").alias("last_entry")
+    return evidence.verify(log, "custkey", [last]).select("custkey", "valid", "n_entries", "last_entry")
 
 
 @query("select id, cast(count(*) as bigint) as degree from (select 'c' || o_custkey as id from orders union all select 'p' || o_orderpriority from orders) group by id order by degree desc, id limit 20")
