@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
@@ -58,12 +58,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_enough(df: DataFrame, row_bytes: int) -> bool:
-    """Whether df, of which a row takes about row_bytes, may be broadcast. It counts df."""
+def small_enough(df: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether df, of which a row takes about row_bytes, may be broadcast. It counts df; where rows differ in size, as those with arrays
+    do, row_bytes is an expression that is summed up."""
+    if isinstance(row_bytes, Column):
+        return (df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
-def narrow(df: DataFrame, row_bytes: int) -> DataFrame:
+def narrow(df: DataFrame, row_bytes: int | Column) -> DataFrame:
     """df for a join: broadcast if it is small enough."""
     return F.broadcast(df) if small_enough(df, row_bytes) else df
 

@@ -250,7 +250,7 @@ def search(found: DataFrame, queries: DataFrame, least: float = MATCH) -> DataFr
     pairs = held.join(narrow(wanted, 40), "f").where("d1 <> q1 or d2 <> q2").select("q1", "q2", "d1", "d2").distinct()
     pairs = written(pairs, "digest-pairs")
     met = of(pairs.select("d1", "d2").distinct(), "rep", "n", "digest")
-    sent = pairs.join(met, ["d1", "d2"]).join(narrow(asking.drop("features"), 40 + 2 * BITS // 8), ["q1", "q2"])
+    sent = pairs.join(met, ["d1", "d2"]).join(narrow(asking.drop("features"), 40 + (BITS // 8 + 16) * F.size("q_digest")), ["q1", "q2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +279,7 @@ def fingerprint(docs: DataFrame, least: float = MATCH, every: int = EVERY) -> Da
     total = hits.groupBy("query_id").agg(F.sum("copies").alias("n_matches"), F.ceil(F.count("*") / LIST).alias("_rows"))
     lists = hits.join(narrow(total, 32), "query_id").withColumn("_row", F.pmod(F.xxhash64("doc_id"), "_rows"))
     lists = lists.groupBy("query_id", "_row").agg(F.first("n_matches").alias("n_matches"), F.expr("sort_array(collect_list(named_struct('similarity', similarity, 'doc_id', doc_id, 'copies', copies)), false)").alias("matches"))
-    near = narrow(written(lists.drop("_row"), "digest-lists"), 200)
+    near = narrow(written(lists.drop("_row"), "digest-lists"), 64 + 40 * F.size("matches"))
     is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     out = found.join(near, found["doc_id"] == near["query_id"], "left")
     return out.select("doc_id", "n_features", "digest", F.when(is_query, F.coalesce("n_matches", F.lit(0))).alias("n_matches"), F.when(is_query, F.coalesce("matches", F.expr(_NONE))).alias("matches"))
