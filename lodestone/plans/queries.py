@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.semantics import ratio, stable_id
-from lodestone.functions.shared import new_path, written
+from lodestone.functions.shared import new_path
 from lodestone.operators import derive, documents, entities, evidence, exposure, pages, quality, resolution, rollup, stats
 from lodestone.operators.citation import build_anchors
 from lodestone.operators.recipe import CHECKS, run_recipe
 from lodestone.plans.surface import CANNED, search, token_index
-from lodestone.sources.tables import filled_in_order, load_table, served
+from lodestone.sources.tables import filled_by, load_table, served
 from lodestone.streaming.tally import sessions, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -505,7 +505,7 @@ def csv_load(spark: SparkSession, d: str) -> DataFrame:
 def forward_fill(spark: SparkSession, d: str) -> DataFrame:
     """Labels that stand in every seventh row alone, carried on in order over ranges of rows."""
     rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.col("event_type")).alias("label"))
-    return filled_in_order(written(rows.repartitionByRange(8, "event_id").sortWithinPartitions("event_id"), "labels").coalesce(1).sortWithinPartitions("event_id"), ["label"])
+    return filled_by(rows, ["label"], "event_id")
 
 
 _RECORDS = f"""select case when lower(trim(nation)) = '{HOME.lower()}' then 'IN' else 'OOS' end as geo, case when reason in ('1-URGENT', '2-HIGH') then 'hot' else 'Other' end as reason_cat, reason = '1-URGENT' as is_immigration, cast(round_even(reach, 0) as bigint) as nets, kind = 'O' as has_case, case kind when 'O' then 'Open' when 'F' then 'Final' else 'Else' end as base_type,

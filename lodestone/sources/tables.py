@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.semantics import present, stripped
-from lodestone.functions.shared import new_path
+from lodestone.functions.shared import new_path, written
 from lodestone.operators.derive import empty_to_null
 from lodestone.operators.quality import CEILING
 
@@ -178,18 +178,33 @@ def load_table(spark: SparkSession, path: str, *, parquet_cache: str | None = No
     return df, report
 
 
+#: Rows, as a power of two, that are filled in one place.
+FILL_BITS = 18
+
+
 def filled_in_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each null takes the last value before it in the file's order. Partitions are filled side by side; what each ends with, a
-    row for each, is carried on to the next ones."""
+    """Each null takes the last value before it in the file's order. Stretches of rows are filled side by side, several of a partition
+    too; what each ends with, a row for each, is carried on to the next ones."""
+    return _filled(df.withColumn("_row", F.monotonically_increasing_id()), columns, df.columns)
+
+
+def filled_by(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
+    """The same in the order of a column, nulls first. Rows are dealt into ranges of it, none of which has to be in one place with others."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() >> FILL_BITS))
+    ranged = df.repartitionByRange(parts, F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
+    return _filled(written(ranged.withColumn("_row", F.monotonically_increasing_id()), "ranges"), columns, df.columns)
+
+
+def _filled(rows: DataFrame, columns: Sequence[str], kept: Sequence[str]) -> DataFrame:
     names = {c: f"_fill{k}" for k, c in enumerate(columns)}
-    numbered = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33))
+    numbered = rows.withColumn("_part", F.shiftright("_row", FILL_BITS))
     ends = numbered.groupBy("_part").agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("_row"))).alias(n) for c, n in names.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("_part", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in names.values()])
     upto = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = {c: F.last(F.col(f"`{c}`"), ignorenulls=True).over(upto) for c in columns}
-    joined = numbered.withColumns(own).join(F.broadcast(carried), "_part")  # a row for each partition
-    return joined.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(n)) for c, n in names.items()}).select(*[F.col(f"`{c}`") for c in df.columns])
+    joined = numbered.withColumns(own).join(F.broadcast(carried), "_part")  # a row for each stretch
+    return joined.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.col(n)) for c, n in names.items()}).select(*[F.col(f"`{c}`") for c in kept])
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
