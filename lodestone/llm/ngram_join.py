@@ -113,6 +113,16 @@ def _fits(x: str, y: str, threshold: float) -> str:
     return f"{x}.size >= {threshold!r}d * {y}.size and {y}.size >= {threshold!r}d * {x}.size and {bound}"
 
 
+def _may_fit(threshold: float) -> str:
+    """SQL: whether a set (size and bits) may be similar to any of some, of which the least and greatest size are known, and the bits
+    that any and all of them have. Of one set it is what _fits tells."""
+    rate = threshold / (1 + threshold)
+    mine = " + ".join(f"bit_count({b} & ~any_{b})" for b in _BITS)  # elements that none of them has
+    theirs = " + ".join(f"bit_count(all_{b} & ~{b})" for b in _BITS)  # elements that each of them has beyond the set
+    sizes = f"size >= {threshold!r}d * least_size and most_size >= {threshold!r}d * size"
+    return f"{sizes} and size - ({mine}) >= {rate!r}d * (size + least_size) - 1e-6d and most_size - ({theirs}) >= {rate!r}d * (size + most_size) - 1e-6d"
+
+
 def _tiled(classes: DataFrame, threshold: float) -> DataFrame:
     """tile, rep, f1, f2, n, size, guest: the tile that each class belongs to, and those that it visits; only tiles of two or more."""
     keyed = classes.select("rep", "f1", F.explode("keys").alias("key"))
@@ -126,14 +136,16 @@ def _tiled(classes: DataFrame, threshold: float) -> DataFrame:
     lead = written(led.groupBy(F.col("x.rep").alias("rep"), F.col("x.f1").alias("f1")).agg(F.min("m.first").alias("lead")), "ngram-lead")
     placed = met.select("key", "rep", "f1").join(narrow(lead, 40), ["rep", "f1"], "left").withColumn("lead", F.coalesce("lead", "rep"))
     placed = written(placed, "ngram-placed")
-    # Of a bucket's tiles each is one row, however many classes it has there. One class alone is bounded by its bitmap.
-    tiles = placed.groupBy("key", "lead").agg(F.count("*").alias("m"), F.min("rep").alias("one"))
+    # Of a bucket's tiles each is one row, however many classes it has there, with bounds on the sizes and bitmaps of them all.
+    tiles = placed.groupBy("key", "lead").agg(F.count("*").alias("m"))
     several = tiles.groupBy("key").agg(F.count("*").alias("k"), F.min("lead").alias("least")).where("k > 1").select("key", "least")
     several = written(several, "ngram-several")
-    ahead = tiles.join(narrow(several, 30), "key").select("key", F.col("lead").alias("tile"), F.expr("if(m = 1, one, null)").alias("one"))
-    guests = placed.join(narrow(several, 30), "key").where("lead > least").drop("least").join(ahead, "key").where("tile < lead").select("rep", "f1", "tile", "one").distinct()
-    alone = guests.where("one is not null").alias("g").join(x, (F.col("g.rep") == F.col("x.rep")) & (F.col("g.f1") == F.col("x.f1"))).join(traits.alias("y"), F.col("g.one") == F.col("y.rep")).where(_fits("x", "y", threshold))
-    visits = guests.where("one is null").select("rep", "f1", "tile").unionByName(alone.select("g.rep", "g.f1", "g.tile")).distinct()
+    crowd = placed.join(narrow(several, 30), "key").join(traits.drop("f2", "n"), ["rep", "f1"])
+    crowd = written(crowd, "ngram-crowd")  # the classes of buckets with several tiles
+    held = [F.min("size").alias("least_size"), F.max("size").alias("most_size"), *[F.expr(f"bit_or({b})").alias(f"any_{b}") for b in _BITS], *[F.expr(f"bit_and({b})").alias(f"all_{b}") for b in _BITS]]
+    ahead = crowd.groupBy("key", F.col("lead").alias("tile")).agg(*held)
+    guests = crowd.where("lead > least").join(ahead, "key").where("tile < lead").where(_may_fit(threshold))
+    visits = guests.select("rep", "f1", "tile").distinct()
     visits = written(visits, "ngram-visits")
     own = placed.select("rep", "f1", F.col("lead").alias("tile")).distinct()
     used = own.where("tile <> rep").select("tile").unionByName(visits.select("tile")).distinct()
@@ -164,14 +176,16 @@ def compare(sets: list[np.ndarray], threshold: float, first: np.ndarray, second:
     label = np.arange(m)
     rate = threshold / (1 + threshold)
     at_once = max(1, 4_000_000 // (width // 64))
-    for i in range(m - 1):
-        upto = int(np.searchsorted(size, size[i] / threshold + 1e-6, "right"))  # the band of sizes, beyond i in order
-        if upto <= i + 1:
-            continue
-        want = ((first[i] & second[i + 1 : upto]) | (second[i] & first[i + 1 : upto])) & ~(guest[i] & guest[i + 1 : upto])
+    hosts = np.flatnonzero(~guest)
+    for i in hosts.tolist():  # each pair has one that is no guest: guests meet these from either side, others from the lesser
+        low = int(np.searchsorted(size, threshold * size[i] - 1e-6))  # the band of sizes
+        upto = int(np.searchsorted(size, size[i] / threshold + 1e-6, "right"))
+        want = (first[i] & second[low:upto]) | (second[i] & first[low:upto])
+        want[: i + 1 - low] &= guest[low : i + 1]
+        want[i - low] = False
         if only_connect:
-            want &= label[i + 1 : upto] != label[i]
-        js = np.flatnonzero(want) + i + 1
+            want &= label[low:upto] != label[i]
+        js = np.flatnonzero(want) + low
         if not len(js):
             continue
         common = np.concatenate([np.bitwise_count(bits[js[a : a + at_once]] & bits[i]).sum(axis=1, dtype=np.int64) for a in range(0, len(js), at_once)])
