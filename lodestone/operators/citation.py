@@ -2,12 +2,15 @@
 
 Places are counted in characters. A block has a text and, where its conversion kept them, places on pages (prov: page_no and
 bbox); only a block of one such place tells where a quote stands, so one of none or several is no ground for an anchor, and a
-quote found there later counts as found in the block alone. All of it are joins and expressions; only the places of a quote in a
-block that holds it are listed in Arrow batches."""
+quote found there later counts as found in the block alone. All of it are joins and expressions; only the places of quotes in a
+block are found in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,11 @@ def aligned(text: str, start: int, end: int) -> bool:
     return not (left or right)
 
 
-def _cuts(text: Column, quote: Column, start: Column) -> Column:
-    """Whether a quote at a place (from 0) begins or ends within a word."""
+def _cuts(quote: Column, before: Column, after: Column) -> Column:
+    """Whether a quote begins or ends within a word, by the texts before and after it."""
     at = lambda c, k: F.coalesce(F.substring(c, k, F.lit(1)).rlike(_ALNUM), F.lit(False))
-    end = start + F.length(quote)
-    left = (start > 0) & at(text, start) & at(quote, F.lit(1))
-    right = (end < F.length(text)) & at(text, end + 1) & at(quote, F.length(quote))
+    left = (F.length(before) > 0) & at(before, F.length(before)) & at(quote, F.lit(1))
+    right = (F.length(after) > 0) & at(after, F.lit(1)) & at(quote, F.length(quote))
     return left | right
 
 
@@ -56,25 +58,53 @@ def _placed(blocks: DataFrame) -> DataFrame:
     return blocks.withColumns({"n_prov": F.lit(1), "page_no": page, "bbox": F.lit(None).cast("string")})
 
 
+def _looked_up(context: int):  # noqa: ANN202
+    """For mapInArrow: of each row's claims, where their quotes stand first in its text (from 0, -1 if nowhere), whether they stand there
+    again, overlapping or not, and what is around the first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                rows = batch.slice(a, 256)
+                found: list[list[list]] = [[], [], [], []]
+                for text, claims in zip(rows.column("_text"), rows.column("_claims")):
+                    text, quotes = text.as_py() or "", [q or "" for q in claims.values.field("quote").to_pylist()]
+                    first = [text.find(q) for q in quotes]
+                    ends = [k + len(q) for k, q in zip(first, quotes)]
+                    found[0].append(first)
+                    found[1].append([k >= 0 and text.find(q, k + 1) >= 0 for k, q in zip(first, quotes)])
+                    found[2].append([text[max(0, k - context) : k] if k > 0 else "" for k in first])
+                    found[3].append([text[e : e + context] if k >= 0 else "" for k, e in zip(first, ends)])
+                kept = [c for c in batch.schema.names if c != "_text"]
+                kinds = (pa.int32(), pa.bool_(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *(pa.array(x, pa.list_(k)) for x, k in zip(found, kinds))], names=[*kept, "_first", "_again", "_before", "_after"])
+
+    return run
+
+
 def build_anchors(claims: DataFrame, blocks: DataFrame, keys: list[str], context: int = CONTEXT) -> DataFrame:
     """claims (keys, quote, ...) with the anchor in the block of the same keys: char_start, char_end, prefix, suffix, text_hash (of
     the quote), page_no, bbox and error: blank_quote, not_single_prov, not_found (also without a block), ambiguous (overlapping
-    places count) or cuts_a_word. With an error all else is null."""
+    places count) or cuts_a_word. With an error all else is null.
+
+    The claims of a block meet its text as one row, so a text is moved once and not once for each of its claims."""
     of = _placed(blocks).select(*keys, F.col("text").alias("_text"), F.col("n_prov").alias("_n"), F.col("page_no").alias("_page"), F.col("bbox").alias("_bbox"))
-    rows = claims.join(of, keys, "left")
-    text, quote = F.coalesce("_text", F.lit("")), F.coalesce("quote", F.lit(""))
-    first = F.expr("locate(coalesce(quote, ''), coalesce(_text, ''))")  # from 1, 0 if nowhere
-    again = F.expr("locate(coalesce(quote, ''), coalesce(_text, ''), locate(coalesce(quote, ''), coalesce(_text, '')) + 1)")
-    start = (first - 1).cast("int")
-    error = F.when(python_strip(quote) == "", "blank_quote").when(F.col("_n").isNotNull() & (F.col("_n") != 1), "not_single_prov").when(first == 0, "not_found").when(again > 0, "ambiguous").when(_cuts(text, quote, start), "cuts_a_word")
-    rows = rows.withColumns({"_error": error, "_start": start})
-    end = F.col("_start") + F.length(quote)
+    rest = [c for c in claims.columns if c not in keys]
+    met = claims.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_claims")).join(of, keys, "left")
+    lists = [("_first", T.IntegerType()), ("_again", T.BooleanType()), ("_before", T.StringType()), ("_after", T.StringType())]
+    schema = T.StructType([f for f in met.schema if f.name != "_text"] + [T.StructField(c, T.ArrayType(kind)) for c, kind in lists])
+    names = ["_claims", *(c for c, _ in lists)]
+    rows = met.mapInArrow(_looked_up(max(context, 1)), schema).select(*keys, "_n", "_page", "_bbox", F.explode(F.arrays_zip(*names)).alias("_e"))
+    rows = rows.select(*keys, *[F.col(f"_e._claims.`{c}`").alias(c) for c in rest], "_n", "_page", "_bbox", *[F.col(f"_e.{c}").alias(c) for c in names[1:]])
+    quote = F.coalesce("quote", F.lit(""))
+    error = F.when(python_strip(quote) == "", "blank_quote").when(F.col("_n").isNotNull() & (F.col("_n") != 1), "not_single_prov").when(F.col("_first") < 0, "not_found").when(F.col("_again"), "ambiguous").when(_cuts(quote, F.col("_before"), F.col("_after")), "cuts_a_word")
+    rows = rows.withColumn("_error", error)
     fields = {
-        "char_start": F.col("_start"), "char_end": end.cast("int"), "prefix": F.expr(f"substring(_text, greatest(1, _start + 1 - {context}), least(_start, {context}))"), "suffix": F.expr(f"substring(_text, _start + length(quote) + 1, {context})"),
+        "char_start": F.col("_first"), "char_end": (F.col("_first") + F.length(quote)).cast("int"), "prefix": F.col("_before") if context else F.lit(""), "suffix": F.col("_after") if context else F.lit(""),
         "text_hash": F.sha2("quote", 256), "page_no": F.col("_page"), "bbox": F.col("_bbox"),
     }
     anchor = F.struct(*[F.when(F.col("_error").isNull(), v).alias(k) for k, v in fields.items()], F.col("_error").alias("error"))
-    return rows.withColumn("anchor", anchor).drop("_text", "_n", "_page", "_bbox", "_error", "_start")
+    return rows.withColumn("anchor", anchor).select(*keys, *rest, "anchor")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
